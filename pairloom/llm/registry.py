@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import nbsvm, quality_rules, secrets, sharding, simhash
+from pairloom.llm import decontam, langid, nbsvm, packing, quality_rules, secrets, sharding, simhash, suffix_lm, token_store
 from pairloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,20 +20,41 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored(table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))[0]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op4_quality_rules, op7_simhash, op10_secret_scans)}
+    named = op1_sharding, op2_quality_classifier, op3_language_id, op4_quality_rules, op5_decontamination, op6_packing, op7_simhash, op8_token_store, op9_lm_scoring, op10_secret_scans
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
