@@ -1,6 +1,6 @@
 """Language identification: nearest of several clustered centroids per language, by cosine over TF-IDF byte n-grams.
 
-Method. A text is the vector of its byte n-grams (1 to 3 bytes, ASCII letters lowered, hashed into DIMS): log counts times
+Method. A text is the vector of its byte n-grams (1 to 3 bytes of its letters, hashed into DIMS): log counts times
 inverse document frequency, length one. Document frequencies cover all training documents. On a bounded sample
 (PER_LANG documents of each language, chosen by id hash) spherical k-means gives CENTROIDS centroids a language. A
 text takes the language of the nearest centroid; the score is that language's share of a softmax over the languages' best
@@ -31,6 +31,8 @@ REJECT = 0.002
 MARGIN = 1.25
 HEAT = 0.05
 FOLDS, HELD = 4, 2
+#: ASCII letters lowered, all other ASCII a space, so that marks and digits say nothing.
+_LETTERS = bytes(c | 0x20 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -39,7 +41,8 @@ def has_letter(text: bytes) -> bool:
 
 
 def counts(text: bytes) -> np.ndarray:
-    b = np.frombuffer(text.lower(), np.uint8).astype(np.uint32)
+    words = b" ".join(text.translate(_LETTERS).split())
+    b = np.frombuffer(b" " + words + b" ", np.uint8).astype(np.uint32)
     out, code = np.zeros(DIMS, np.int64), np.zeros(len(b), np.uint32)
     for n in range(1, 4):
         if len(b) < n:
