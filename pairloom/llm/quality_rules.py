@@ -87,8 +87,11 @@ def ngrams(text: bytes) -> np.ndarray:
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(target, raw): n-gram counts over the trusted and over all documents. trusted: doc_id, once each."""
-    flagged = docs.select("doc_id", utf8().alias("_t")).join(trusted.select("doc_id", F.lit(1).alias("_y")), "doc_id", "left").select(F.coalesce("_y", F.lit(0)).alias("_y"), "_t")
+    """(target, raw): n-gram counts over the trusted and over all documents. trusted: doc_id, once each.
+
+    Labels grow with the corpus, so the join shuffles at every size, texts once.
+    """
+    flagged = docs.select("doc_id", utf8().alias("_t")).join(trusted.select("doc_id", F.lit(1).alias("_y")).hint("merge"), "doc_id", "left").select(F.coalesce("_y", F.lit(0)).alias("_y"), "_t")
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int64)
