@@ -84,19 +84,31 @@ def chi2_sf(x: Column, df: int) -> Column:
     return erfc(F.sqrt(half)) + F.exp(-half) * total
 
 
+# Coefficients of Cody's rational approximations of the error function (Math. Comp. 23, 1969): near 0, to 4, beyond.
+_NEAR_P = (3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03, 1.85777706184603153e-1)
+_NEAR_Q = (2.36012909523441209e01, 2.44024637934444173e02, 1.28261652607737228e03, 2.84423683343917062e03)
+_MID_P = (5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e01, 2.98635138197400131e02, 8.81952221241769090e02, 1.71204761263407058e03, 2.05107837782607147e03, 1.23033935479799725e03, 2.15311535474403846e-8)
+_MID_Q = (1.57449261107098347e01, 1.17693950891312499e02, 5.37181101862009858e02, 1.62138957456669019e03, 3.29079923573345963e03, 4.36261909014324716e03, 3.43936767414372164e03, 1.23033935480374942e03)
+_FAR_P = (3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4, 1.63153871373020978e-2)
+_FAR_Q = (2.56852019228982242e00, 1.87295284992346725e00, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3)
+
+
+def _ratio(x: Column, p: tuple[float, ...], q: tuple[float, ...]) -> Column:
+    """(p[-1]*x^n + p[0]*x^(n-1) + ... + p[n-1]) / (x^n + q[0]*x^(n-1) + ... + q[n-1])."""
+    top, bottom = p[-1] * x, x
+    for a, b in zip(p[:-2], q[:-1]):
+        top, bottom = (top + a) * x, (bottom + b) * x
+    return (top + p[-2]) / (bottom + q[-1])
+
+
 def erfc(z: Column) -> Column:
-    """Complementary error function for z >= 0: a series near 0, a continued fraction beyond; about 1e-12."""
+    """Complementary error function for z >= 0."""
     square = z * z
-    term, total = z, z
-    for n in range(1, 40):
-        term = term * -square / n
-        total = total + term / (2 * n + 1)
-    near = 1 - total * 1.1283791670955126  # 2/sqrt(pi)
-    tail = F.lit(0.0)
-    for k in range(60, 0, -1):
-        tail = (k / 2.0) / (z + tail)
-    far = F.exp(-square) / ((z + tail) * 1.7724538509055159)  # sqrt(pi)
-    return F.when(z < 2, near).otherwise(far)
+    inverse = 1 / square
+    near = 1 - z * _ratio(square, _NEAR_P, _NEAR_Q)
+    mid = F.exp(-square) * _ratio(z, _MID_P, _MID_Q)
+    far = F.exp(-square) * (0.5641895835477563 - inverse * _ratio(inverse, _FAR_P, _FAR_Q)) / z  # 1/sqrt(pi)
+    return F.when(z <= 0.46875, near).when(z <= 4, mid).otherwise(far)
 
 
 def pixel_to_coords(row: Column, col: Column, transform: Column) -> tuple[Column, Column]:

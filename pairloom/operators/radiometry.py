@@ -215,6 +215,11 @@ def chi_column(a: np.ndarray, b: np.ndarray, mean: np.ndarray, rho: np.ndarray)
     return chi
 
 
+def _with_p(rows: DataFrame, chi: Column, n: int, name: str) -> DataFrame:
+    """chi as a column of its own, so that the tail function's many uses of it don't repeat its expression."""
+    return rows.withColumn("_chi", chi).withColumn(name, chi2_sf(F.col("_chi"), n)).drop("_chi")
+
+
 def irmad(pair: DataFrame, rounds: int = 30, tolerance: float = 1e-4, threshold: float = 0.95) -> IrMad:
     """Each round is one aggregation over the base relation: the weights are a function of the last round's literals."""
     n = n_bands(pair)
@@ -225,27 +230,27 @@ def irmad(pair: DataFrame, rounds: int = 30, tolerance: float = 1e-4, threshold:
         if count < 10 * n:
             raise RadiometricError(f"{count} valid pixels; {10 * n} are needed")
         bands = [F.col("ref")[k] for k in range(n)] + [F.col("mov")[k] for k in range(n)]
-        weight, last, converged, step = F.lit(1.0), None, False, 0
+        weighted, last, converged, step = rows.withColumn("_w", F.lit(1.0)), None, False, 0
         for step in range(1, rounds + 1):
-            row = rows.agg(*moment_columns(bands, weight)).first()
+            row = weighted.agg(*moment_columns(bands, F.col("_w"))).first()
             if row["w"] < 1e-6:
                 row = rows.agg(*moment_columns(bands)).first()
             m = moments_of(row, 2 * n)
             rho, a, b = cca(m, n)
-            weight = chi2_sf(chi_column(a, b, m.mean, rho), n)
+            weighted = _with_p(rows, chi_column(a, b, m.mean, rho), n, "_w")
             if last is not None and np.abs(rho - last).max() < tolerance:
                 converged = True
                 break
             last = rho
         # the means, and they alone, once more with the last weights
-        sums = rows.agg(F.sum(weight).alias("w"), *[F.sum(weight * x).alias(f"s{i}") for i, x in enumerate(bands)]).first()
+        sums = weighted.agg(F.sum("_w").alias("w"), *[F.sum(F.col("_w") * x).alias(f"s{i}") for i, x in enumerate(bands)]).first()
         mean = np.array([sums[f"s{i}"] for i in range(2 * n)]) / sums["w"] if sums["w"] >= 1e-6 else m.mean
-        p = chi2_sf(chi_column(a, b, mean, rho), n)
+        judged = _with_p(rows, chi_column(a, b, mean, rho), n, "_p")
         warnings = []
-        if rows.filter(p >= threshold).count() < 10:
+        if judged.filter(F.col("_p") >= threshold).count() < 10:
             threshold = 0.8
             warnings.append("fewer than 10 pixels reach the no-change threshold; 0.8 is used")
-        fit = fit_linear(rows, p >= threshold)
+        fit = fit_linear(judged, F.col("_p") >= threshold)
         return IrMad(fit, rho, a, b, mean, step, converged, threshold, warnings)
     finally:
         rows.unpersist()
@@ -256,7 +261,7 @@ def no_change(pair: DataFrame, model: IrMad) -> DataFrame:
     n = len(model.rho)
     valid = valid_pixel(n) & (F.coalesce(F.col("valid"), F.lit(False)) if "valid" in pair.columns else F.lit(True))
     chi = chi_column(model.a, model.b, model.mean, model.rho)
-    return pair.withColumn("chi", F.when(valid, chi)).withColumn("p", F.when(valid, chi2_sf(chi, n)).otherwise(0.0))
+    return pair.withColumn("chi", F.when(valid, chi)).withColumn("p", F.coalesce(chi2_sf(F.col("chi"), n), F.lit(0.0)))
 
 
 def apply_linear(pair: DataFrame, fit: LinearFit) -> DataFrame:
