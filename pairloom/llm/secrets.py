@@ -156,8 +156,8 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.when(x["end"] <= acc["at"], acc).when((x["start"] < acc["at"]) & (acc["at"] > 0), F.struct(x["end"].alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out")))
 
     clean = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
-    hit = F.size(F.coalesce("_spans", _none())) > 0
-    columns = {"text": F.when(hit, clean).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(hit, F.char_length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+    out = out.withColumn("_hit", F.size(F.coalesce("_spans", _none())) > 0)
+    out = out.withColumn("text", F.when(F.col("_hit"), clean).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:  # of the new column: counted within its expression the length comes out wrong
+        out = out.withColumn("n_chars", F.when(F.col("_hit"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
