@@ -100,8 +100,11 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def class_counts(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """([2, FEATURES] document counts of the features by class, [2] documents)."""
-    rows = docs.select("doc_id", utf8().alias("_t")).filter(crc_of("doc_id") % FOLDS != HELD).join(known, "doc_id").select("y", "_t")
+    """([2, FEATURES] document counts of the features by class, [2] documents).
+
+    Labels grow with the corpus, so the join shuffles at every size, texts once.
+    """
+    rows = docs.select("doc_id", utf8().alias("_t")).filter(crc_of("doc_id") % FOLDS != HELD).join(known.hint("merge"), "doc_id").select("y", "_t")
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, FEATURES + 1), np.int64)  # the last one counts documents
