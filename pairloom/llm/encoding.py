@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -16,8 +17,8 @@ from tokenizers import Tokenizer
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-#: Entries of a cache before it starts anew.
-CACHE = 400_000
+#: Entries of a cache's younger generation; the older one has as many at most.
+CACHE = 200_000
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _NUMBER = "0-9²³¹¼-¾"
 _TAIL = rf"[^\s{_LETTER}{_NUMBER}]+"
@@ -39,34 +40,53 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
 
-class _Pieces(dict):
-    """Piece of the split to its ids, little-endian unsigned 32-bit."""
+class _Cache(dict):
+    """Two generations: a full younger one becomes the older, and what is met again there moves back. So frequent keys stay."""
 
-    def __init__(self, model) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.model = model
+        self.older: dict[str, bytes] = {}
+
+    def made(self, key: str) -> bytes:
+        raise NotImplementedError
 
-    def __missing__(self, piece: str) -> bytes:
-        out = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))], "<u4").tobytes()
+    def __missing__(self, key: str) -> bytes:
+        out = self.older.get(key)
+        if out is None:
+            out = self.made(key)
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        self[piece] = out
+        self[key] = out
         return out
 
 
-class _Units(dict):
+class _Pieces(_Cache):
+    """Piece of the split to its ids, little-endian unsigned 32-bit."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model = model
+
+    def made(self, key: str) -> bytes:
+        # printing ASCII stands for itself
+        letters = key if key.isascii() and key.isprintable() and " " not in key else key.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return pack(f"<{len(ids)}I", *ids)
+
+
+class _Units(_Cache):
     """What stands between spaces to its ids; head is put before it."""
 
     def __init__(self, pieces: _Pieces, split: re.Pattern, head: str) -> None:
         super().__init__()
         self.pieces, self.split, self.head = pieces, split, head
 
-    def __missing__(self, unit: str) -> bytes:
-        out = b"".join(map(self.pieces.__getitem__, self.split.findall(self.head + unit)))
-        if len(self) >= CACHE:
-            self.clear()
-        self[unit] = out
-        return out
+    def made(self, key: str) -> bytes:
+        parts = self.split.findall(self.head + key)
+        if len(parts) == 1:  # kept here alone
+            return self.pieces.made(parts[0])
+        return b"".join(map(self.pieces.__getitem__, parts))
 
 
 class Encoder:
