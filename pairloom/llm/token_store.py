@@ -1,7 +1,7 @@
 """Token-id output as a content-addressed store, read back by recipe.
 
-Format. ``chunks``: one row for each distinct chunk: chunk (BLAKE2b-128 of its bytes) and ids (zlib of little-endian
-16-bit ids, 32-bit where the vocabulary needs them). ``recipes``: one row a document in ascending doc_id order, in
+Format. ``chunks``: one row for each distinct chunk: chunk (BLAKE2b-128 of its bytes) and ids (a byte that tells their
+width, then little-endian 16-bit ids, or 32-bit ones where the vocabulary needs them; the table is compressed as a whole). ``recipes``: one row a document in ascending doc_id order, in
 files of ranges: doc_id, part, row, start within the part, n_tokens, and refs (16 bytes of chunk, 4 bytes of length each).
 ``recipes`` also hold one manifest row a part: its document and token counts, its first and last id, and the Merkle root
 over its recipes' digests.
@@ -76,11 +76,11 @@ def cuts(ids: np.ndarray) -> list[int]:
 def pack_ids(ids: np.ndarray) -> bytes:
     """A leading byte tells the width."""
     wide = len(ids) and int(ids.max()) >= 1 << 16
-    return bytes([4 if wide else 2]) + zlib.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 1)
+    return bytes([4 if wide else 2]) + ids.astype("<u4" if wide else "<u2").tobytes()
 
 
 def unpack_ids(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), "<u4" if data[0] == 4 else "<u2").astype("<u4")
+    return np.frombuffer(data, "<u4" if data[0] == 4 else "<u2", offset=1).astype("<u4")
 
 
 def _staged(docs: DataFrame, file: str) -> DataFrame:
@@ -187,7 +187,7 @@ def write(docs: DataFrame, path: str, file: str = WORD_BPE) -> None:
     kind = docs.schema["doc_id"].dataType.simpleString()
     staged = STAGED.format(id=kind)
     rows = _staged(docs, file).repartition(n, "key").sortWithinPartitions("kind", "key").mapInArrow(_once, staged)
-    rows.write.partitionBy("kind").parquet(f"{path}/content")
+    rows.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/content")
     recipes = spark.read.schema(staged).parquet(f"{path}/content").filter(F.col("kind") == RECIPE).select("doc_id", "key", "ids")
     ordered = recipes.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "key").mapInArrow(_ordered, RECIPES.format(id=kind) + ", kind int")
     ordered.write.partitionBy("kind").parquet(f"{path}/recipes")
