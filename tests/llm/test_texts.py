@@ -327,3 +327,15 @@ def test_lm_distributions_sum_to_one(spark):
         log = tree.scores(x if len(context) == 2 else np.array([-1, *x]))[1][-1]
         total += rest * 10**log
         assert total == pytest.approx(1.0, abs=1e-6), (context, names)
+
+
+def test_lm_keeps_rare_contexts(spark, monkeypatch):
+    """A context far below any fixed share of the corpus is retained, and what is joined by hash scores as what is broadcast."""
+    rows = [(k, " ".join(f"w{(7 * j + k) % 1499}" for j in range(10000))) for k in range(60)] + [(1000 + k, f"zebra quartz violin u{k}") for k in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_lm.scored(df).collect()}
+    assert all(got[k].score > got[k].base_score + 5 for k in got if k >= 1000)
+    monkeypatch.setattr(suffix_lm, "HEAD", 256)
+    monkeypatch.setattr(suffix_lm, "BROADCAST", 64)
+    again = {r.doc_id: r for r in suffix_lm.scored(df).collect()}
+    assert all(again[k].score == pytest.approx(r.score, abs=1e-6) and again[k].base_score == pytest.approx(r.base_score, abs=1e-6) and again[k].n_known == r.n_known for k, r in got.items())
