@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame expressions only.
 
-Method. Numbers, names and units become typed placeholders, the rest is lower-cased without punctuation. Windows of WINDOW
+Method. Numbers, names (runs of capitalised words) and units become typed placeholders, the rest is lower-cased without punctuation. Windows of WINDOW
 template words of all documents are hash-joined with those of the benchmark. An item is found in a document if COVERAGE of its
 distinct windows are. Where they hold placeholders, the values that fill them are compared along each alignment of the two:
 a value of the item must always meet the same value in the document. Equal values mean the item as it is; other,
@@ -25,21 +25,24 @@ WINDOW = 5
 COVERAGE = 0.5
 BROADCAST_ROWS = 200_000
 BROADCAST_DOCS = 500_000
-# Placeholders for number, name and unit, and the mark that ends a kept value.
-NUMBER, NAME, UNIT, CLOSE = "\ue000", "\ue001", "\ue002", "\ue003"
+# Placeholders for number, name and unit, the mark that ends a kept value, and the one between words of a name.
+NUMBER, NAME, UNIT, CLOSE, JOINT = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 # Units of measure after a number.
 UNITS = (
     "km|kg|cm|mm|mg|ml|ms|min|mph|kph|mb|gb|tb|kb|hz|khz|mhz|ghz|kw|mw|kv|ft|lbs|lb|oz|usd|eur|percent|dollars|dollar|euros|euro|hours|hour|minutes|minute|"
     "seconds|second|days|day|weeks|week|months|month|years|year|miles|mile|meters|meter|metres|metre|litres|litre|liters|liter|grams|gram|feet|inches|inch|m|g|l|s|h|w|v"
 )
 SPACES = r"[\x20\x09-\x0D]+"
+CAPITALISED = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}\p{L}*+"
 
 
 def _marked(text: Column, keep: bool) -> Column:
     """text in template form; keep: with the values that were replaced."""
-    name, number, unit = (f"$1{NAME}$2{CLOSE}", f"{NUMBER}$0{CLOSE}", f"$1 {UNIT}$2{CLOSE}$3") if keep else (f"$1{NAME}", NUMBER, f"$1 {UNIT}$3")
+    name, number, unit = (f"{NAME}$0{CLOSE}", f"{NUMBER}$0{CLOSE}", f"$1 {UNIT}$2{CLOSE}$3") if keep else (NAME, NUMBER, f"$1 {UNIT}$3")
     end = CLOSE if keep else NUMBER
-    out = F.regexp_replace(text, r"([\p{Ll},;:] )(\p{Lu}\p{Ll}+)", name)
+    # a run of capitalised words is one name, wherever it stands
+    out = F.regexp_replace(text, rf"({CAPITALISED}){SPACES}(?=\p{{Lu}}\p{{Ll}})", f"$1{JOINT}")
+    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}{JOINT}])\p{{Lu}}\p{{Ll}}\p{{L}}*+(?:{JOINT}\p{{Lu}}\p{{Ll}}\p{{L}}*+)*+", name)
     out = F.regexp_replace(out, r"[0-9]+(?:[.,:/][0-9]+)*", number)
     out = F.lower(F.regexp_replace(out, rf"({end}) ?((?i:{UNITS}))([^\p{{L}}\p{{N}}]|$)", unit))
     return F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}{NUMBER}-{CLOSE}\x20\x09-\x0D]+", "")

@@ -237,6 +237,16 @@ def test_inconsistent_slots(spark):
     assert [r.doc_id for r in decontam.contaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [1]
 
 
+def test_full_and_initial_names(spark):
+    one = "Yesterday the teacher met Alice Smith and paid Bob Jones 12 dollars for 3 old books about Carol Brown and her life."
+    two = "Alice Smith has 3 pens. Bob Jones has 5 pens. Carol Brown takes 2 pens from Bob Jones. How many pens does Bob Jones have now?"
+    swap = {"Alice Smith": "Dave Miller", "Bob Jones": "Eve Anna Clark", "Carol Brown": "Frank\nWolf", "12": "45", "3": "8", "5": "6", "2": "4"}
+    other = lambda t: re.sub("|".join(swap), lambda m: swap[m[0]], t)
+    rows = [(1, other(one)), (2, other(two)), (3, "before it \"" + two + "\""), (4, "A long text without any of it. Bob Jones has seen 5 towns.")]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 2)} and all(r.reparameterised for r in got if r.doc_id < 3)
+
+
 # --- secrets ------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
