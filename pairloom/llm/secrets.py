@@ -36,8 +36,12 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, ("akia",)),
     Rule("hex", r"[0-9a-f]+", 0, 16),
 )
+# A key's block up to its END line; where that is missing, its base64 lines (also as one line, or with escaped line ends).
+_BREAK = r"(?:[\x20\x09\x0A\x0D]|\\[nr])"
+_TO_END = r"[^-]*+(?:-(?!----)[^-]*+){0,64}+-----END [A-Z ]*PRIVATE KEY-----"
+_LINES = rf"(?:{_BREAK}++[A-Za-z-]++:\x20[^\n\\]*+){{0,8}}+(?:(?:{_BREAK}++[A-Za-z0-9+/]{{16,}}+={{0,2}}+){{1,1000}}+(?:\x20*\r?\n[A-Za-z0-9+/]+={{0,2}}(?=\s*\n|\s*\z))?)?"
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hints=("private key-----",)),
+    Rule("pem", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|{_LINES})", hints=("private key-----",), version="2"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hints=("eyj",)),
     Rule("ghtoken", r"gh[pousr]_[A-Za-z0-9]{36,}", hints=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", hints=("xox",)),

@@ -283,6 +283,22 @@ def test_added_rules_and_redaction(spark):
     assert out[2].text == "clean" and out[3].text is None
 
 
+def test_whole_private_keys(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA7bq+/" + f"{k:02d}Zx" * 10 for k in range(26)) + "\nAbC9"
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    rows = [
+        (1, f"see\n{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,ABCDEF\n\n{body}\n{end}\nafter it"),
+        (2, f"see\n{head}\n{body}\nafter it, no end - none"),
+        (3, f"see {head} {body.replace(chr(10), ' ')} {end} after it"),
+        (4, f"see {head}\\n{body.replace(chr(10), chr(92) + 'n')}\\n{end}\\n after it"),
+        (5, f"see {head} only\nafter it"),
+        (6, f"see\n{head}\n{body}\nafter it\n{head}\n{body}\n{end}\nafter it"),
+    ]
+    out = {r.doc_id: r.text for r in secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = ["see\n[SECRET]\nafter it", "see\n[SECRET]\nafter it, no end - none", "see [SECRET] after it", "see [SECRET]\\n after it", "see [SECRET] only\nafter it", "see\n[SECRET]\nafter it\n[SECRET]\nafter it"]
+    assert [out[k] for k in range(1, 7)] == want
+
+
 def test_redacted_texts_hold_no_secret(docs):
     for r in secrets.redacted(docs).collect():
         assert spans_by_hand(r.text) == ""
