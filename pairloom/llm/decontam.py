@@ -10,6 +10,7 @@ The windows of the benchmark are broadcast only up to BROADCAST_ROWS, else both
 shared by many documents gives one row for each of its places and items. Texts move only for documents that already match.
 
 Defined cases: null or empty texts have no window; texts shorter than a window, on either side, are one window of their own;
+items shorter than a window are looked for at every place, and only with equal values, as so short a template tells little;
 repeated rows of one id are one document; null ids are never found; items of equal templates are one class, told by its
 smallest item_id; an empty table on either side finds nothing; the input's other columns are dropped.
 """
@@ -69,9 +70,13 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes.select("item_id", "kept").join(sizes, "item_id"), rows
 
 
-def matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc_id, item_id, wpos, pos, plain: each place of a document that holds a benchmark window."""
-    found = docs.filter("doc_id is not null").select("doc_id", words(F.col("text")).alias("tokens")).select("doc_id", F.posexplode(_windows(F.col("tokens"))).alias("pos", "h"))
+def matches(docs: DataFrame, windows: DataFrame, short: list[int]) -> DataFrame:
+    """doc_id, item_id, wpos, pos, plain: each place of a document that holds a benchmark window. short: lengths of the items below WINDOW."""
+    tokens = docs.filter("doc_id is not null").select("doc_id", words(F.col("text")).alias("tokens"))
+    found = tokens.select("doc_id", F.posexplode(_windows(F.col("tokens"))).alias("pos", "h"))
+    for k in short:  # a document of that length, or any below WINDOW, is one window above
+        part = F.transform(F.sequence(F.lit(1), F.size("tokens") - (k - 1)), lambda i: F.xxhash64(F.slice("tokens", i, k)))
+        found = found.unionByName(tokens.filter(F.size("tokens") > k).select("doc_id", F.posexplode(part).alias("pos", "h")))
     return found.join(small(windows, BROADCAST_ROWS), "h").select("doc_id", "item_id", "wpos", "pos", "plain")
 
 
@@ -80,7 +85,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items, windows = benchmark_windows(benchmark)
     items = saved(items, "items")
     one = F.when(F.col("plain"), F.col("wpos"))
-    seen = saved(matches(docs, windows), "matches").groupBy("doc_id", "item_id").agg(F.countDistinct("wpos").alias("n"), F.countDistinct(one).alias("n_free"), F.collect_set(F.struct("wpos", "pos")).alias("at"))
+    short = sorted(r[0] for r in items.filter(F.size("kept") < WINDOW).select(F.size("kept")).distinct().collect())
+    seen = saved(matches(docs, windows, short), "matches").groupBy("doc_id", "item_id").agg(F.countDistinct("wpos").alias("n"), F.countDistinct(one).alias("n_free"), F.collect_set(F.struct("wpos", "pos")).alias("at"))
     seen = seen.join(small(items, BROADCAST_ROWS), "item_id").filter(F.col("n") >= COVERAGE * F.col("n_windows"))
     seen = saved(seen.select("doc_id", "item_id", "n", "n_free", "n_windows", "n_plain", "kept", F.when(F.col("n_plain") < F.col("n_windows"), F.col("at")).alias("at")), "found")
     slotted = saved(seen.filter("at is not null").select("doc_id").distinct(), "slotted")
@@ -92,7 +98,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = both.withColumn("_pairs", F.coalesce(pairs, F.array().cast("array<struct<shift:int,b:string,d:string>>")))
     clash = F.array_distinct(F.transform(F.filter("_pairs", lambda p: F.size(F.array_distinct(F.transform(F.filter("_pairs", lambda q: (q["shift"] == p["shift"]) & (q["b"] == p["b"])), lambda q: q["d"]))) > 1), lambda p: p["shift"]))
     shifts = F.array_distinct(F.transform("_pairs", lambda p: p["shift"]))
-    sound = F.size(F.array_except(shifts, clash)) > 0
+    unequal = F.transform(F.filter("_pairs", lambda p: p["b"] != p["d"]), lambda p: p["shift"])
+    sound = F.size(F.array_except(shifts, F.when(F.size("kept") < WINDOW, unequal).otherwise(clash))) > 0
     free = (F.col("n_plain") > 0) & (F.col("n_free") >= COVERAGE * F.col("n_plain"))
     found = both.filter((F.size("_pairs") == 0) | sound | free)
     return found.select(

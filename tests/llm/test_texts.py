@@ -247,6 +247,13 @@ def test_full_and_initial_names(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 2)} and all(r.reparameterised for r in got if r.doc_id < 3)
 
 
+def test_short_items_within_documents(spark):
+    docs = [(1, "some words stand before what is an adverb and many words follow it"), (2, "what is an adverb"), (3, "there are 12 green apples in this basket of ours"), (4, "there are 15 green apples in this basket of ours"), (5, "green apples")]
+    items = [(1, "what is an adverb?"), (2, "12 green apples"), (3, "a much longer item that stands in no document at all")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (3, 2)}
+
+
 # --- secrets ------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
