@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
-from struct import pack
+from struct import Struct
 
 import numpy as np
 import public_tokenizers
@@ -17,8 +17,10 @@ from tokenizers import Tokenizer
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-#: Entries of a cache's younger generation; the older one has as many at most.
-CACHE = 200_000
+#: Entries of a cache that stay and of its younger part, and how often that is filled until all is forgotten. Longer keys aren't kept, so a cache's bytes are bounded too.
+CACHE, YOUNGER, TURNS = 250_000, 100_000, 50
+LONGEST = 48
+_STOPS = frozenset(".,;:!?")
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _NUMBER = "0-9²³¹¼-¾"
 _TAIL = rf"[^\s{_LETTER}{_NUMBER}]+"
@@ -38,26 +40,38 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+_SPACE = _byte_letters()[0x20]
+_PACKS = [Struct(f"<{n}I").pack for n in range(64)]
 
 
 class _Cache(dict):
-    """Two generations: a full younger one becomes the older, and what is met again there moves back. So frequent keys stay."""
+    """The first CACHE keys stay, as frequent ones come early; others pass through a younger cache. After TURNS of that all is forgotten, for texts of another kind."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.older: dict[str, bytes] = {}
+        self.younger: dict[str, bytes] = {}
+        self.turns = 0
 
     def made(self, key: str) -> bytes:
         raise NotImplementedError
 
     def __missing__(self, key: str) -> bytes:
-        out = self.older.get(key)
-        if out is None:
-            out = self.made(key)
-        if len(self) >= CACHE:
-            self.older = dict(self)
-            self.clear()
-        self[key] = out
+        out = self.younger.get(key)
+        if out is not None:
+            return out
+        out = self.made(key)
+        if len(key) > LONGEST:
+            return out
+        if len(self) < CACHE:
+            self[key] = out
+            return out
+        self.younger[key] = out
+        if len(self.younger) >= YOUNGER:
+            self.younger = {}
+            self.turns += 1
+            if self.turns == TURNS:
+                self.turns = 0
+                self.clear()
         return out
 
 
@@ -66,13 +80,15 @@ class _Pieces(_Cache):
 
     def __init__(self, model) -> None:
         super().__init__()
-        self.model = model
+        self.tokenize = model.tokenize
 
     def made(self, key: str) -> bytes:
-        # printing ASCII stands for itself
-        letters = key if key.isascii() and key.isprintable() and " " not in key else key.encode().decode("latin-1").translate(_LETTERS)
-        ids = [t.id for t in self.model.tokenize(letters)]
-        return pack(f"<{len(ids)}I", *ids)
+        if key.isascii() and key.isprintable():  # printing ASCII stands for itself
+            letters = key.replace(" ", _SPACE)
+        else:
+            letters = key.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.tokenize(letters)]
+        return _PACKS[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
 
 
 class _Units(_Cache):
@@ -80,13 +96,16 @@ class _Units(_Cache):
 
     def __init__(self, pieces: _Pieces, split: re.Pattern, head: str) -> None:
         super().__init__()
-        self.pieces, self.split, self.head = pieces, split, head
+        self.pieces, self.split, self.head, self.mark = pieces, split, head, _SPACE if head else ""
+        self.tokenize = pieces.tokenize
 
     def made(self, key: str) -> bytes:
-        parts = self.split.findall(self.head + key)
-        if len(parts) == 1:  # kept here alone
-            return self.pieces.made(parts[0])
-        return b"".join(map(self.pieces.__getitem__, parts))
+        if key.isalpha():
+            ids = [t.id for t in self.tokenize(self.mark + (key if key.isascii() else key.encode().decode("latin-1").translate(_LETTERS)))]
+            return _PACKS[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+        if key[-1:] in _STOPS and key[:-1].isalpha():  # the word is cached more often than the word with its stop
+            return self[key[:-1]] + self.pieces[key[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.split.findall(self.head + key)))
 
 
 class Encoder:

@@ -7,8 +7,9 @@ optimum over configurations whose pricing step is a knapsack, rounded down. Actu
 places, longest first, so real room is left over; what has no place yet, and all small pieces, goes best-fit into the
 fullest sequences that still hold it, longest first, then into new ones. All sequences alike are handled as one run.
 
-Places are dealt out by rank: pieces of a length are numbered within cells of hashed ids, cell sizes are added up, and
-each (length, rank) falls into one run of the plan. No task ever holds all pieces of a length.
+Places are dealt out by rank: pieces of a length are numbered within cells of hashed row numbers, cell sizes are added up, and
+each (length, rank) falls into one run of the plan. A length has as many cells as its pieces need, CELLS and one a length in
+all at most, so no task holds all pieces of a frequent length and what is broadcast is bounded.
 
 Defined cases: a null text is an empty document, which is its end id alone; a document longer than LIMIT is cut so that all
 pieces but the first are full; repeated rows and ids are packed each; an empty table gives an empty result.
@@ -25,35 +26,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import saved
+from pairloom.llm.common import batches, saved, utf8
 from pairloom.llm.encoding import BYTE_BPE, encoder
 
 LIMIT = 2048
 END_ID = 0
 #: (large, groups): lengths over LIMIT / large are cut into so many groups. The plan with the fewest sequences holds.
 SCHEMES = ((2, 12), (3, 24), (4, 24))
-CELLS = 64
+CELLS = 1 << 16
+#: Pieces of a cell, or more where there are more than CELLS such cells.
+CELL = 256
 
 
 def pieces(docs: DataFrame, limit: int = LIMIT, file: str = BYTE_BPE) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, row_key: whole documents, and cut longer ones."""
+    """doc_id, piece, start, length, ids_crc32, row: whole documents, and cut longer ones; row is the piece's own number."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(file), np.array([END_ID], "<u4").tobytes()
-        for b in it:
+        from pyspark import TaskContext
+
+        enc, end, row = encoder(file), np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId() << 40
+        for b in batches(it, 4 << 20):
             take, rows = [], []
             for k, t in enumerate(b.column(1)):
-                ids = enc.ids(t.as_py() or "") + end
+                ids = enc.ids(t.as_py().decode()) + end
                 n = len(ids) // 4
                 first = n % limit or limit
                 for p, at in enumerate([0, *range(first, n, limit)]):
                     size = first if p == 0 else limit
                     take.append(k)
-                    rows.append((p, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int32())), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64())))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((p, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), row))
+                    row += 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int32())), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())))], names=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", utf8().alias("_t")).mapInArrow(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long")
 
 
 def _knapsack(sizes: np.ndarray, worth: np.ndarray, limit: int) -> np.ndarray:
@@ -213,13 +219,15 @@ def packed(docs: DataFrame, limit: int = LIMIT, file: str = BYTE_BPE) -> DataFra
     counts[got["length"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     places, _ = plan(counts, limit)
     shared = spark.sparkContext.broadcast(places)
-    rows = rows.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(CELLS)).cast("int"))
-    sizes = rows.groupBy("length", "_cell").agg(F.count(F.lit(1)).alias("n"))  # limit * CELLS rows at most
-    before = sizes.select("length", "_cell", (F.sum("n").over(Window.partitionBy("length").orderBy("_cell")) - F.col("n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("length", "_cell").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    ranked = rows.withColumn("_n", within).join(F.broadcast(before), ["length", "_cell"])
+    size = max(CELL, -(-int(counts.sum()) // CELLS))
+    cells = spark.createDataFrame([(k, -(-int(n) // size)) for k, n in enumerate(counts) if n], "length long, cells long")  # limit rows at most
+    rows = rows.join(F.broadcast(cells), "length").withColumn("cell", F.pmod(F.xxhash64("row"), F.col("cells")))
+    sizes = rows.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n"))  # CELLS + limit rows at most
+    before = sizes.select("length", "cell", (F.sum("n").over(Window.partitionBy("length").orderBy("cell")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("length", "cell").orderBy("row"))
+    ranked = rows.withColumn("n", within).join(F.broadcast(before), ["length", "cell"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = ranked.select(*names, (F.col("_before") + F.col("_n") - 1).cast("long").alias("rank"))
+    ranked = ranked.select(*names, (F.col("before") + F.col("n") - 1).cast("long").alias("rank"))
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value

@@ -8,11 +8,15 @@ over its recipes' digests.
 
 Chunks are cut where a rolling hash of the last WINDOW ids has MASK's bits clear, so equal passages give equal chunks
 wherever they stand; a chunk has MOST ids at most. Writing shuffles each task's distinct chunks once, by content, and
-the small recipes once, by range of doc_id; texts and whole id streams never move. Tables go through Spark's own
-committer into the shared folder, so a lost executor's tasks run again without a trace.
+the small recipes once evenly (copies of a text are spread) and once by range of doc_id; texts and whole id streams never move.
+Tables go through Spark's own committer into the shared folder, so a lost executor's tasks run again without a trace.
 
 Reading verifies every chunk against its name, every part against its Merkle root and every length, then finds each
-document's crc32 from those of its chunks (crc32 is linear), so chunk contents needn't be joined back.
+document's crc32 from those of its chunks (crc32 is linear), so chunk contents needn't be joined back. References meet
+their chunks by shuffle; chunks with a share of 1/FREQUENT of all references, FREQUENT at most, are broadcast.
+
+Memory: texts are taken in slices of SLICE bytes, a task remembers MET chunk names at most (forgotten ones are dropped by the
+shuffle), and Merkle roots are folded.
 
 Defined cases: null text is an empty document, which is its end id; repeated rows and ids are stored as documents of their
 own, equal ids in the order of their contents; a null id comes first; an empty table gives empty tables.
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import parts, scratch
+from pairloom.llm.common import batches, parts, saved, scratch, utf8
 from pairloom.llm.encoding import WORD_BPE, encoder
 
 END_ID = 1
@@ -38,6 +42,8 @@ WINDOW = 8
 MASK = (1 << 8) - 1
 LEAST, MOST = 32, 2048
 DIGEST = 16
+SLICE, MET = 2 << 20, 50_000
+FREQUENT = 1 << 14
 STAGED = "key binary, doc_id {id}, ids binary, kind int"
 CHUNK, RECIPE, MANIFEST = 0, 1, 2
 
@@ -84,14 +90,18 @@ def unpack_ids(data: bytes) -> np.ndarray:
 
 
 def _staged(docs: DataFrame, file: str) -> DataFrame:
-    """Each task's distinct chunks, and a recipe of each document."""
+    """Each task's distinct chunks, and a recipe of each document; slot: of a chunk by its name, of recipes evenly."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, met = encoder(file), np.array([END_ID], "<u4").tobytes(), set()
-        for b in it:
-            keys, ids_of, data, kinds = [], [], [], []
+        from pyspark import TaskContext
+
+        enc, end, met, spread = encoder(file), np.array([END_ID], "<u4").tobytes(), set(), 7919 * TaskContext.get().partitionId()
+        for b in batches(it, SLICE):
+            keys, ids_of, data, kinds, slots = [], [], [], [], []
+            if len(met) > MET:
+                met.clear()
             for k, t in enumerate(b.column(1)):
-                raw = enc.ids(t.as_py() or "") + end
+                raw = enc.ids(t.as_py().decode()) + end
                 ids, last, refs = np.frombuffer(raw, "<u4"), 0, []
                 for c in cuts(ids):
                     name = digest(raw[4 * last : 4 * c])
@@ -102,15 +112,18 @@ def _staged(docs: DataFrame, file: str) -> DataFrame:
                         ids_of.append(None)
                         data.append(pack_ids(ids[last:c]))
                         kinds.append(CHUNK)
+                        slots.append(int.from_bytes(name[:4], "little", signed=True))
                     last = c
                 recipe = b"".join(refs)
                 keys.append(digest(recipe))
                 ids_of.append(k)
                 data.append(recipe)
                 kinds.append(RECIPE)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0).take(pa.array(ids_of, pa.int32())), pa.array(data, pa.binary()), pa.array(kinds, pa.int32())], names=["key", "doc_id", "ids", "kind"])
+                slots.append(spread)
+                spread += 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0).take(pa.array(ids_of, pa.int32())), pa.array(data, pa.binary()), pa.array(kinds, pa.int32()), pa.array(slots, pa.int64())], names=["key", "doc_id", "ids", "kind", "slot"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, STAGED.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    return docs.select("doc_id", utf8().alias("_t")).mapInArrow(work, STAGED.format(id=docs.schema["doc_id"].dataType.simpleString()) + ", slot long")
 
 
 def _once(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,18 +138,24 @@ def _once(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
-def merkle(leaves: Iterator[bytes]) -> bytes:
-    """Root of the binary hash tree over the leaves, in memory that grows with its height."""
-    stack: list[tuple[int, bytes]] = []
-    for leaf in leaves:
+class Merkle:
+    """Root of the binary hash tree over leaves that come one by one, in memory that grows with its height."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        stack = self.stack
         stack.append((0, digest(b"\0" + leaf)))
         while len(stack) > 1 and stack[-1][0] == stack[-2][0]:
             (h, right), (_, left) = stack.pop(), stack.pop()
             stack.append((h + 1, digest(b"\1" + left + right)))
-    while len(stack) > 1:
-        (_, right), (h, left) = stack.pop(), stack.pop()
-        stack.append((h + 1, digest(b"\1" + left + right)))
-    return stack[0][1] if stack else digest(b"")
+
+    def root(self) -> bytes:
+        out = None
+        for _, left in reversed(self.stack):
+            out = left if out is None else digest(b"\1" + left + out)
+        return digest(b"") if out is None else out
 
 
 RECIPES = "doc_id {id}, part int, row long, start long, n_tokens long, refs binary, root binary, last_id {id}"
@@ -147,15 +166,7 @@ def _ordered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, row, start, first, last = TaskContext.get().partitionId(), 0, 0, None, None
-    stack_leaves: list[tuple[int, bytes]] = []
-    kind_type = None
-
-    def fold(leaf: bytes) -> None:
-        stack_leaves.append((0, digest(b"\0" + leaf)))
-        while len(stack_leaves) > 1 and stack_leaves[-1][0] == stack_leaves[-2][0]:
-            (h, right), (_, left) = stack_leaves.pop(), stack_leaves.pop()
-            stack_leaves.append((h + 1, digest(b"\1" + left + right)))
-
+    tree, kind_type = Merkle(), None
     names = [x.split()[0] for x in RECIPES.split(", ")] + ["kind"]
     for b in it:
         if not b.num_rows:
@@ -163,7 +174,7 @@ def _ordered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind_type = b.column(0).type
         lengths = [int(np.frombuffer(r, np.uint8).reshape(-1, DIGEST + 4)[:, DIGEST:].copy().view("<u4").sum()) for r in b.column(2).to_pylist()]
         for key in b.column(1).to_pylist():
-            fold(key)
+            tree.add(key)
         ends = np.cumsum(lengths) + start
         n = b.num_rows
         yield pa.RecordBatch.from_arrays(
@@ -174,10 +185,7 @@ def _ordered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = b.column(0)[0]
         last, row, start = b.column(0)[n - 1], row + n, int(ends[-1])
     if row:
-        while len(stack_leaves) > 1:
-            (_, right), (h, left) = stack_leaves.pop(), stack_leaves.pop()
-            stack_leaves.append((h + 1, digest(b"\1" + left + right)))
-        one = [pa.array([first.as_py()], kind_type), pa.array([part], pa.int32()), pa.array([row], pa.int64()), pa.array([0], pa.int64()), pa.array([start], pa.int64()), pa.nulls(1, pa.binary()), pa.array([stack_leaves[0][1]], pa.binary()), pa.array([last.as_py()], kind_type), pa.array([MANIFEST], pa.int32())]
+        one = [pa.array([first.as_py()], kind_type), pa.array([part], pa.int32()), pa.array([row], pa.int64()), pa.array([0], pa.int64()), pa.array([start], pa.int64()), pa.nulls(1, pa.binary()), pa.array([tree.root()], pa.binary()), pa.array([last.as_py()], kind_type), pa.array([MANIFEST], pa.int32())]
         yield pa.RecordBatch.from_arrays(one, names=names)
 
 
@@ -186,7 +194,7 @@ def write(docs: DataFrame, path: str, file: str = WORD_BPE) -> None:
     spark, n = docs.sparkSession, parts(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     staged = STAGED.format(id=kind)
-    rows = _staged(docs, file).repartition(n, "key").sortWithinPartitions("kind", "key").mapInArrow(_once, staged)
+    rows = _staged(docs, file).repartition(n, "slot").select("key", "doc_id", "ids", "kind").sortWithinPartitions("kind", "key").mapInArrow(_once, staged)
     rows.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/content")
     recipes = spark.read.schema(staged).parquet(f"{path}/content").filter(F.col("kind") == RECIPE).select("doc_id", "key", "ids")
     ordered = recipes.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "key").mapInArrow(_ordered, RECIPES.format(id=kind) + ", kind int")
@@ -274,7 +282,10 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     offsets = spark.createDataFrame(starts, "part int, before long")
     facts = chunks.mapInArrow(_chunk_facts, "chunk binary, size long, crc long")
     refs = recipes.select("part", "row", "refs").mapInArrow(_refs, "part int, row long, chunk binary, want long, after long")
-    joined = refs.join(facts, "chunk", "left")
+    total = recipes.agg(F.coalesce(F.sum(F.length("refs")), F.lit(0))).first()[0] // (DIGEST + 4)
+    often = refs.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(64, -(-total // FREQUENT))).select("chunk")  # FREQUENT rows at most
+    hot = F.broadcast(saved(facts.join(F.broadcast(often), "chunk", "left_semi"), "frequent"))
+    joined = refs.join(hot, "chunk").unionByName(refs.join(hot.select("chunk"), "chunk", "left_anti").join(facts, "chunk", "left").select("chunk", "part", "row", "want", "after", "size", "crc"))
     sound = F.when(F.col("size") == F.col("want"), F.col("crc")).otherwise(F.raise_error(F.lit("a chunk is missing or has another length")).cast("long"))
     crcs = joined.select("part", "row", sound.alias("crc"), "after", "want").mapInArrow(_crc_parts, "part int, row long, crc long, size long")
     whole = crcs.groupBy("part", "row").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("size").alias("_n"))
@@ -288,16 +299,20 @@ def verified(spark: SparkSession, path: str, id_type: str = "bigint") -> bool:
     _, recipes, manifests = _tables(spark, path, id_type)
 
     def roots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-        for b in it:
-            for p, refs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        at, tree = None, Merkle()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([tree.root()], pa.binary())], names=["part", "got"])
+
+        for b in batches(it):
+            for p, refs in zip(b.column(0).to_pylist(), b.column(1)):
                 if at is not None and p != at:
-                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([merkle(iter(held))], pa.binary())], names=["part", "got"])
-                    held = []
+                    yield out()
+                    tree = Merkle()
                 at = p
-                held.append(digest(refs))
+                tree.add(digest(refs.as_py()))
         if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([merkle(iter(held))], pa.binary())], names=["part", "got"])
+            yield out()
 
     got = recipes.select("part", "row", "refs").repartition(parts(spark), "part").sortWithinPartitions("part", "row").select("part", "refs").mapInArrow(roots, "part int, got binary")
     bad = manifests.join(got, "part", "full_outer").filter(~F.col("got").eqNullSafe(F.col("root"))).limit(1).collect()

@@ -132,12 +132,16 @@ def test_cached_ids_are_the_librarys(text):
         assert np.frombuffer(e.ids(text), "<u4").tolist() == e.library.encode(text, add_special_tokens=False).ids
 
 
-def test_cache_generations(monkeypatch):
-    monkeypatch.setattr(encoding, "CACHE", 3)
-    e = encoding.Encoder(encoding.WORD_BPE)
-    text = "one two three four one five six seven one two"
-    assert np.frombuffer(e.ids(text), "<u4").tolist() == e.library.encode(text, add_special_tokens=False).ids
-    assert len(e.first) <= 3 and len(e.first.older) <= 3
+def test_bounded_caches(monkeypatch):
+    for k, v in (("CACHE", 3), ("YOUNGER", 2), ("TURNS", 2), ("LONGEST", 9)):
+        monkeypatch.setattr(encoding, k, v)
+    for file in (encoding.BYTE_BPE, encoding.WORD_BPE):
+        e = encoding.Encoder(file)
+        text = "one two, three four. one five six seven! one two a-very-long-word-that-is-not-kept eight nine ten, one"
+        for _ in range(3):
+            assert np.frombuffer(e.ids(text), "<u4").tolist() == e.library.encode(text, add_special_tokens=False).ids
+            for c in (e.first, e.spaced, e.pieces):
+                assert len(c) <= 3 and len(c.younger) <= 2 and all(len(k) <= 9 for k in c)
 
 
 def expected_store(rows):
