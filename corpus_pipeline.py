@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import decontam, near_copies, packing, quality_rules, secrets, simhash
+from pairloom.llm import decontam, near_copies, packing, quality_rules, secrets
 from pairloom.llm.common import saved, table
 
 #: Tokenisation and near-duplicate components are beyond SQL; tests hold the rows against a brute-force version.
@@ -25,7 +25,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component, and of those one of each component of similar 5-word shingle sets."""
-    return near_copies.dropped(saved(simhash.deduplicated(docs), "distinct"))
+    return near_copies.distinct(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,44 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with underscores before it until no frame has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def hash_of_long(x: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
+    """Spark's xxhash64 of longs; of several columns with the hash of those before as the seed."""
+    h = np.uint64(seed) if isinstance(seed, int) else seed
+    one, two, three, four, five = (np.uint64(k) for k in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: v << np.uint64(k) | v >> np.uint64(64 - k)
+    h = turn((h + five + np.uint64(8)) ^ turn(x * two, 31) * one, 27) * one + four
+    h = (h ^ h >> np.uint64(33)) * two
+    h = (h ^ h >> np.uint64(29)) * three
+    return h ^ h >> np.uint64(32)
+
+
+#: log2 of the most 64-bit words of a bit filter.
+FILTER = 22
+
+
+def bits_of(keys: DataFrame) -> np.ndarray:
+    """A bit filter over the hashes h: it passes all of them, and few others while they are fewer than its bits. Its size is bounded, it only spares shuffling."""
+    size = 1 << min(max(int(keys.count() // 4).bit_length(), 10), FILTER)
+    at = F.col("h").bitwiseAND(F.lit(size - 1).cast("long"))
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {FILTER}) & 63L as int))")
+    got = keys.groupBy(at.alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(size, np.uint64)
+    out[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return (bits[(k & np.uint64(len(bits) - 1)).astype(np.int64)] >> (k >> np.uint64(FILTER) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import batches, parts, saved, utf8
+from pairloom.llm.common import batches, fresh, parts, saved, utf8
 
 BITS = 64
 BUDGET = 2
@@ -49,16 +49,16 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, *cols: str, text_col: str = "text") -> DataFrame:
+    """cols, fp (the 64 bits as a signed long)."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it):
-            fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=[id_col, "fp"])
+        for b in batches(it, col=0):
+            fps = np.array([fingerprint(t) for t in b.column(0).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps)], names=[*cols, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, utf8(text_col).alias("_t")).mapInArrow(work, f"{id_col} {kind}, fp long")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in cols)
+    return docs.select(utf8(text_col).alias("_t"), *cols).mapInArrow(work, f"{kinds}fp long")
 
 
 class _Forest:
@@ -150,19 +150,19 @@ def links(classes: DataFrame, budget: int = BUDGET, leaf_rows: int = LEAF_ROWS)
                 new = rows.select("node", "fp", F.lit(_mask(path)).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(_mask(path))).alias("path"))
                 unit = new if unit is None else unit.unionAll(new)
         sizes = unit.groupBy("mask", "path").agg(F.count(F.lit(1)).alias("_n"))
-        big = saved(sizes.filter(F.col("_n") > leaf_rows), "subtrees")
-        heavy = [r["mask"] for r in big.select("mask").distinct().collect()] if big.head(1) else []
+        # a subtree with no more free bits than the budget is all links, and small
+        cut = [(path, rest, rows) for fixed, free, rows in level for block in _blocks(free, budget) for path, rest in [(fixed + block, [b for b in free if b not in block])] if len(rest) > budget]
+        can = F.col("mask").isin([_mask(path) for path, _, _ in cut]) if cut else F.lit(False)
+        big = saved(sizes.filter((F.col("_n") > leaf_rows) & can), "subtrees")
+        heavy = {r["mask"] for r in big.select("mask").distinct().collect()}  # one a block at most
         small = unit
         if heavy:
             small = unit.join(big.select("mask", "path"), ["mask", "path"], "left_anti")
-            for fixed, free, rows in level:
-                for block in _blocks(free, budget):
-                    path = fixed + block
-                    rest = [b for b in free if b not in block]
-                    if _mask(path) in heavy and len(rest) > budget:
-                        sub = big.filter(F.col("mask") == F.lit(_mask(path))).select("path")
-                        keep = rows.withColumn("path", F.col("fp").bitwiseAND(F.lit(_mask(path)))).join(sub, "path", "left_semi").select("node", "fp")
-                        todo.append((path, rest, keep))
+            for path, rest, rows in cut:
+                if _mask(path) in heavy:
+                    sub = big.filter(F.col("mask") == F.lit(_mask(path))).select("path")
+                    keep = rows.withColumn("path", F.col("fp").bitwiseAND(F.lit(_mask(path)))).join(sub, "path", "left_semi").select("node", "fp")
+                    todo.append((path, rest, keep))
         found.append(_joined(small, budget))
     out = found[0]
     for x in found[1:]:
@@ -206,13 +206,13 @@ def _joined(units: DataFrame, budget: int) -> DataFrame:
     return units.repartition(n, "mask", "path").sortWithinPartitions("mask", "path").select("node", "fp", "mask", "path").mapInArrow(work, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of edges (a, b), the smallest node of its component.
 
     Star contraction: large-star and small-star steps in turn, each a shuffle of the edges, until nothing changes.
     """
     edges = saved(edges.distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         # large star: each node sends its larger neighbours to its smallest one
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -227,18 +227,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges = new
         if same == was:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
+def fingerprint_roots(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """fp, root: each distinct fingerprint of fps (fp, ...) and the name of its component, a fingerprint too."""
+    classes = saved(fps.select("fp").distinct(), "classes")
+    roots = components(links(classes.select(F.col("fp").alias("node"), "fp"), budget))
+    return classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """id_col, fingerprint (hex), component_id: smallest id reachable over links of at most budget differing bits."""
-    fps = saved(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = saved(fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("node")), "classes")
+    fps = saved(fingerprints(docs, id_col, text_col=text_col), "fingerprints")
     # ids may repeat over fingerprints, so links run between fingerprints; their names are found afterwards
-    roots = components(links(classes.select(F.col("fp").alias("node"), "fp"), budget))
-    named = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "node")
+    named = fingerprint_roots(fps, budget).join(fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("node")), "fp")
     name = named.groupBy("root").agg(F.min("node").alias("component_id"))
     # ids that repeat tie their fingerprints' components together only by the smallest id, as a result is by row
     label = named.join(name, "root").select("fp", "component_id")
@@ -246,12 +249,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(label, "fp").select(id_col, hexed, "component_id")
 
 
+def later_rows(fps: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """key: the rows of fps (key, doc_id, fp) but the first of each component of roots (fp, root): that of its smallest doc_id, then key."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("first")
+    # by fingerprint first, so that the copies of a text meet as one row a task
+    firsts = fps.groupBy("fp").agg(first).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{key}").alias(key))
+    return fps.select(key).join(firsts.hint("shuffle_hash"), key, "left_anti")
+
+
+def numbered(docs: DataFrame, key: str) -> DataFrame:
+    """docs as a saved table, so that the rows' numbers in column key stay."""
+    return saved(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of its smallest doc_id. Of rows that share it one stays; rows without id stay."""
-    groups = near_duplicates(docs)
-    first = saved(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "first")
-    out = docs.join(first.filter("_n = 1"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
-    again = first.filter("_n > 1")
-    if again.head(1):
-        out = out.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(docs.columns)
+    """One row of each component, that of its smallest doc_id; decided row by row, so rows with equal ids or none are documents of their own."""
+    key = fresh("row", docs)
+    rows = numbered(docs, key)
+    fps = saved(fingerprints(rows, key, "doc_id"), "fingerprints")
+    return rows.join(later_rows(fps, fingerprint_roots(fps), key).hint("shuffle_hash"), key, "left_anti").select(docs.columns)
