@@ -10,9 +10,9 @@ Every pair of that similarity links, and no other; nothing is capped or estimate
    (prefix filter). The order is rare before frequent, so shared passages stand last. Nodes meet under these hashes. Sizes, and
    the places of the hash they meet at, rule pairs out.
 3. Under a hash with up to POSTING nodes all pairs are compared by their whole sets; with more, each with the NEXT ones in one
-   order of all nodes, so that a group of near copies costs a few comparisons a node. Once components are known, hashes whose
-   nodes are still in several are gone through pair by pair, in blocks: pairs of different components that nothing rules
-   out are compared too.
+   order of all nodes, so that a group of near copies costs a few comparisons a node. Hashes whose nodes are still in several
+   components are dealt in another order each round, and neighbours of different components compared, as long as that adds one
+   link in MORE. Then what is left is gone through in blocks: every pair of different components that nothing rules out is compared.
 
 Defined cases: ASCII lower case and white space; fewer than 5 words: the whole sequence is the one shingle; texts without words
 are left to the fingerprints, which are equal; ids may repeat or be null, as rows are told apart by their own numbers; an empty table stays
@@ -22,6 +22,8 @@ empty; other columns of the input, whatever their names, come back as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ OVER, UNDER = 4, 5
 SAMPLED = np.uint64(int(0.35 * (1 << 64)))
 SMALL = 128
 POSTING, NEXT = 8, 2
+MORE = 20
 #: Hashes with this share of the sets' hashes or more stand last in the order; so many at most.
 FREQUENT = 1 << 16
 _WORDS = 200_000
@@ -250,23 +253,39 @@ def pairs_within(rows: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0)
 
 
-def pairs_across(rows: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs (a < b) of different components under hashes with more than POSTING nodes, block by block; rows g, node, n, at, root."""
-    g = rows[:, 0]
-    cut = [*np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), len(g)]
+def _mixed(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Of rows g, node, n, at, root, sorted by g: the groups with more than POSTING nodes in more than one component."""
+    cut = [*np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])), len(rows)]
     for lo, hi in zip(cut, cut[1:]):
         x = rows[lo:hi]
-        if hi - lo <= POSTING or (x[:, 4] == x[0, 4]).all():
-            continue
+        if hi - lo > POSTING and (x[:, 4] != x[0, 4]).any():
+            yield x
+
+
+def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The pairs of two equally long runs of rows that can be similar and are in different components."""
+    on = open_pairs(a[:, 2], a[:, 3], b[:, 2], b[:, 3]) & (a[:, 4] != b[:, 4])
+    return np.stack([np.minimum(a[on, 1], b[on, 1]), np.maximum(a[on, 1], b[on, 1])], axis=1)
+
+
+def pairs_dealt(rows: np.ndarray, turn: int) -> Iterator[np.ndarray]:
+    """Neighbours of different components, in an order of this turn's own."""
+    for x in _mixed(rows):
+        x = x[np.argsort(hash_of_long(x[:, 1].view(np.uint64), turn), kind="stable")]
+        yield from (_between(x[:-d], x[d:]) for d in range(1, NEXT + 1))
+
+
+def pairs_across(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """All pairs (a < b) of different components, block by block."""
+    for x in _mixed(rows):
         x = x[np.argsort(x[:, 2], kind="stable")]  # by size: a block meets only those that aren't too large
         for i in range(0, len(x), _BLOCK):
             a = x[i : i + _BLOCK]
-            top = np.searchsorted(x[:, 2], UNDER * a[-1, 2] // OVER, "right")
+            top = int(np.searchsorted(x[:, 2], UNDER * a[-1, 2] // OVER, "right"))
             for j in range(i, top, _BLOCK):
                 b = x[j : min(j + _BLOCK, top)]
-                on = open_pairs(a[:, None, 2], a[:, None, 3], b[None, :, 2], b[None, :, 3]) & (a[:, None, 4] != b[None, :, 4])
-                p, q = np.nonzero(on)
-                yield np.stack([np.minimum(a[p, 1], b[q, 1]), np.maximum(a[p, 1], b[q, 1])], axis=1)
+                p, q = np.nonzero(open_pairs(a[:, None, 2], a[:, None, 3], b[None, :, 2], b[None, :, 3]) & (a[:, None, 4] != b[None, :, 4]))
+                yield _between(a[p], b[q])
 
 
 def _candidates(rows: DataFrame, pairs) -> DataFrame:
@@ -313,6 +332,10 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter((OVER + UNDER) * F.size(F.array_intersect("x", "y")) >= OVER * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def _labelled(met: DataFrame, links: DataFrame) -> DataFrame:
+    return met.join(components(links).hint("shuffle_hash"), "node", "left").select("g", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+
+
 def similar(rows: DataFrame, key: str) -> DataFrame:
     """a, b (a < b): names of texts that are similar, with a link between any two that such pairs connect; key numbers the rows."""
     counts = shared_counts(rows, key)
@@ -320,11 +343,15 @@ def similar(rows: DataFrame, key: str) -> DataFrame:
     sets = saved(_sets(rows, key, wanted), "sets", compression="uncompressed")
     met = saved(prefixes(sets), "prefixes")
     found = saved(_similar(_candidates(met, lambda x: [pairs_within(x)]), sets), "similar")
-    many = met.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > POSTING).select("g")
-    roots = components(found)
-    labelled = met.join(many.hint("shuffle_hash"), "g", "left_semi").join(roots.hint("shuffle_hash"), "node", "left")
-    rest = _candidates(labelled.select("g", "node", "n", "at", F.coalesce("root", "node").alias("root")), pairs_across)
-    return found.unionByName(_similar(rest, sets))
+    many = met.join(met.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > POSTING).select("g").hint("shuffle_hash"), "g", "left_semi")
+    many = saved(many, "frequent-prefixes")
+    for turn in count(1):
+        labelled = _labelled(many, found)
+        new = saved(_similar(_candidates(labelled, partial(pairs_dealt, turn=turn)), sets), "similar")
+        known, found = found.count(), found.unionByName(new)
+        if MORE * new.count() <= known:
+            break
+    return found.unionByName(_similar(_candidates(_labelled(many, found), pairs_across), sets))
 
 
 def names(rows: DataFrame, key: str) -> DataFrame:
