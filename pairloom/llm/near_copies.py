@@ -11,8 +11,8 @@ Every pair of that similarity links, and no other; nothing is capped or estimate
    the places of the hash they meet at, rule pairs out.
 3. Under a hash with up to POSTING nodes all pairs are compared by their whole sets; with more, each with the NEXT ones in one
    order of all nodes, so that a group of near copies costs a few comparisons a node. Hashes whose nodes are still in several
-   components are dealt in another order each round, and neighbours of different components compared, as long as that adds one
-   link in MORE. Then what is left is gone through in blocks: every pair of different components that nothing rules out is compared.
+   components are dealt in another order each round, and neighbours of different components compared, and others with some of
+   the largest one, as long as that adds one link in MORE. Then what is left is gone through in blocks: every pair of different components that nothing rules out is compared.
 
 Defined cases: ASCII lower case and white space; fewer than 5 words: the whole sequence is the one shingle; texts without words
 are left to the fingerprints, which are equal; ids may repeat or be null, as rows are told apart by their own numbers; an empty table stays
@@ -41,7 +41,7 @@ OVER, UNDER = 4, 5
 SAMPLED = np.uint64(int(0.35 * (1 << 64)))
 SMALL = 128
 POSTING, NEXT = 8, 2
-MORE = 20
+MORE, TRIES = 100, 8
 #: Hashes with this share of the sets' hashes or more stand last in the order; so many at most.
 FREQUENT = 1 << 16
 _WORDS = 200_000
@@ -269,10 +269,13 @@ def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pairs_dealt(rows: np.ndarray, turn: int) -> Iterator[np.ndarray]:
-    """Neighbours of different components, in an order of this turn's own."""
+    """In an order of this turn's own: neighbours of different components, and each row outside the largest one with TRIES rows of that."""
     for x in _mixed(rows):
         x = x[np.argsort(hash_of_long(x[:, 1].view(np.uint64), turn), kind="stable")]
         yield from (_between(x[:-d], x[d:]) for d in range(1, NEXT + 1))
+        _, of, n = np.unique(x[:, 4], return_inverse=True, return_counts=True)
+        top, rest = x[of == n.argmax()], x[of != n.argmax()]
+        yield from (_between(rest, top[(np.arange(len(rest)) * TRIES + k) % len(top)]) for k in range(min(TRIES, len(top))))
 
 
 def pairs_across(rows: np.ndarray) -> Iterator[np.ndarray]:
