@@ -85,6 +85,25 @@ def may_hold(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (bits[(k & np.uint64(len(bits) - 1)).astype(np.int64)] >> (k >> np.uint64(FILTER) & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def with_ids_of(docs: DataFrame, ids: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc_id, _t (the text as UTF-8) and the other columns of ids, of the documents whose doc_id is in ids (doc_id once each).
+
+    Ids grow with the corpus, so the join shuffles at every size; a bit filter of bounded size keeps most other texts out of that.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bits_of(ids.select(F.xxhash64("doc_id").alias("h"))))
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, col=2):
+            on = may_hold(bits.value, b.column(0).to_numpy().view(np.uint64))
+            if on.any():
+                b = b.filter(pa.array(on))
+                yield pa.RecordBatch.from_arrays(b.columns[1:], names=["doc_id", "_t"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    some = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", utf8(text_col).alias("_t")).mapInArrow(work, f"doc_id {kind}, _t binary")
+    return some.join(ids.hint("merge"), "doc_id")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -93,16 +93,23 @@ def fitted(docs: DataFrame) -> dict | None:
     if not df[-1]:
         return None
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.05
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id"))
-    chosen = docs.filter("text is not null and lang is not null").filter(crc_of("doc_id") % FOLDS != HELD).select("doc_id", "lang").withColumn("_r", rank).filter(F.col("_r") <= PER_LANG)
+    known = docs.filter("text is not null and lang is not null").filter(crc_of("doc_id") % FOLDS != HELD).select("doc_id", "lang").distinct()
+    hashed = F.xxhash64(F.col("doc_id"), F.lit(5))
+    # a bound of the hash leaves each language some times PER_LANG ids, however many it has; all of them where that is too few
+    share = F.least(F.lit(1.0), F.lit(4.0 * PER_LANG) / F.col("n"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", ((share - 0.5) * 2.0**64).alias("bound"))  # a row a language
+    some = known.join(F.broadcast(sizes), "lang").filter(hashed.cast("double") <= F.col("bound"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id"))
+    chosen = some.withColumn("_r", rank).filter(F.col("_r") <= PER_LANG)
 
     def sample(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, col=1):
             v = [vector(t, idf).astype(np.float32).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.binary())], names=["lang", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.binary()), b.column(2)], names=["lang", "v", "doc_id"])
 
-    # PER_LANG rows a language at most, so the chosen ids are few
-    rows = train.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"]).select("lang", "_t").mapInArrow(sample, "lang string, v binary").toPandas()
+    # PER_LANG ids a language at most, and of texts that share one the one whose vector comes first
+    rows = train.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"]).select("lang", "_t", "doc_id")
+    rows = rows.mapInArrow(sample, f"lang string, v binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}").groupBy("lang", "doc_id").agg(F.min("v").alias("v")).toPandas()
     langs, centroids, owner, far = sorted(rows.lang.unique()), [], [], []
     for k, lang in enumerate(langs):
         x = np.stack(sorted((np.frombuffer(v, np.float32) for v in rows.v[rows.lang == lang]), key=lambda v: v.tobytes())).astype(np.float64)

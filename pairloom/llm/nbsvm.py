@@ -6,7 +6,7 @@ to length one. A linear model under hinge loss is fitted to them by dual coordin
 margins are turned into probabilities by a logistic curve fitted on a second one.
 
 Bounds: the fit takes the FIT_ROWS training documents of each class with the smallest id hash, the curve the CURVE_ROWS
-next ones of either class as they come; class counts and ratios cover every training document.
+next ones of either class as they come, one text of each id; class counts and ratios cover every training document.
 
 Defined cases: null text is an empty one, has no feature and scores by the bias alone; very long texts are read whole;
 repeated rows are scored each; labels with a null id or class are left out, of labels that disagree for an id the larger
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import batches, crc_of, utf8
+from pairloom.llm.common import batches, crc_of, utf8, with_ids_of
 
 FEATURES = 1 << 16
 FIT_ROWS = 2500
@@ -100,11 +100,8 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def class_counts(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """([2, FEATURES] document counts of the features by class, [2] documents).
-
-    Labels grow with the corpus, so the join shuffles at every size, texts once.
-    """
-    rows = docs.select("doc_id", utf8().alias("_t")).filter(crc_of("doc_id") % FOLDS != HELD).join(known.hint("merge"), "doc_id").select("y", "_t")
+    """([2, FEATURES] document counts of the features by class, [2] documents). Only texts that may be labelled are shuffled."""
+    rows = with_ids_of(docs, known).select("y", "_t")
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, FEATURES + 1), np.int64)  # the last one counts documents
@@ -142,7 +139,8 @@ def _sample(docs: DataFrame, known: DataFrame) -> tuple[pd.DataFrame, pd.DataFra
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = docs.select("doc_id", utf8().alias("_t")).join(F.broadcast(chosen), "doc_id").select("y", "use", "_t", "doc_id")
-    got = got.mapInArrow(work, f"y int, use int, doc_id {kind}, f binary").toPandas().sort_values(["use", "doc_id", "f"])
+    # ids may repeat; one text of each is taken, the one whose features come first
+    got = got.mapInArrow(work, f"y int, use int, doc_id {kind}, f binary").groupBy("use", "doc_id", "y").agg(F.min("f").alias("f")).toPandas().sort_values(["use", "doc_id", "f"])
     return got[got.use == 0], got[got.use == 1]
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import SPACE, batches, utf8
+from pairloom.llm.common import SPACE, batches, utf8, with_ids_of
 
 BUCKETS = 1 << 16
 #: Mean log ratio a document must reach.
@@ -86,28 +86,26 @@ def ngrams(text: bytes) -> np.ndarray:
     return (all_ >> np.uint64(48)).astype(np.int64)
 
 
-def bucket_counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(target, raw): n-gram counts over the trusted and over all documents. trusted: doc_id, once each.
-
-    Labels grow with the corpus, so the join shuffles at every size, texts once.
-    """
-    flagged = docs.select("doc_id", utf8().alias("_t")).join(trusted.select("doc_id", F.lit(1).alias("_y")).hint("merge"), "doc_id", "left").select(F.coalesce("_y", F.lit(0)).alias("_y"), "_t")
+def _counted(texts: DataFrame) -> np.ndarray:
+    """n-gram counts by bucket over texts (_t)."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS), np.int64)
-        for b in batches(it):
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = np.bincount(ngrams(t), minlength=BUCKETS)
-                sums[1] += c
-                if y:
-                    sums[0] += c
-        at = np.flatnonzero(sums[1])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], names=["bucket", "target", "raw"])
+        sums = np.zeros(BUCKETS, np.int64)
+        for b in batches(it, col=0):
+            for t in b.column(0).to_pylist():
+                sums += np.bincount(ngrams(t), minlength=BUCKETS)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["bucket", "n"])
 
-    rows = flagged.mapInArrow(work, "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toPandas()  # BUCKETS rows at most
-    target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    target[rows["bucket"]], raw[rows["bucket"]] = rows["target"], rows["raw"]
-    return target, raw
+    rows = texts.select("_t").mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
+    out = np.zeros(BUCKETS)
+    out[rows["bucket"]] = rows["n"]
+    return out
+
+
+def bucket_counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(target, raw): n-gram counts over the trusted and over all documents. trusted: doc_id, once each. Only texts that may be trusted are shuffled."""
+    return _counted(with_ids_of(docs, trusted)), _counted(docs.select(utf8().alias("_t")))
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -153,7 +151,7 @@ def filtered(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     at = docs.columns.index("text")
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in batches(it, col=at):
             texts = b.column(at).cast(pa.binary())
             yield b.filter(pa.array([verdict(t.as_py() or b"", ratios.value, threshold)[6] for t in texts], pa.bool_()))
 

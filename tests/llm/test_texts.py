@@ -51,6 +51,40 @@ def test_rules_keep_good_and_drop_bad(spark, sf, docs):
     assert np.mean([g.kept for g, q in known if q]) > 0.98 and np.mean([g.kept for g, q in known if not q]) < 0.1
 
 
+def ngrams_by_hand(text):
+    """Buckets of words, pairs of words, pairs of shapes and shapes, one by one."""
+    m, out = 1 << 64, []
+    crc = lambda x: zlib.crc32(x)
+    words = (text or "").encode().split()
+    low = [crc(w.lower()) for w in words]
+    shape = lambda w: bytes(97 if 97 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 117 if c >= 128 else c for c in w)
+    own = [crc(s[:1] + s[-3:]) for s in map(shape, words)]
+    keys = low + [3 * a + b + (1 << 40) for a, b in zip(low, low[1:])] + [5 * a + b + (1 << 41) for a, b in zip(own, own[1:])] + [s + (1 << 42) for s in own]
+    return [k * 0x9E3779B97F4A7C15 % m >> 48 for k in keys]
+
+
+def test_ratio_by_hand(spark, sf, docs, hard, labels):
+    for df, known in ((docs, spark.read.parquet(f"{sf}/labels.parquet")), (hard, labels)):
+        best = {}
+        for r in known.collect():
+            best[r.doc_id] = max(best.get(r.doc_id, 0), r.quality)
+        target, raw = Counter(), Counter()
+        for r in df.collect():
+            g = ngrams_by_hand(r.text)
+            raw.update(g)
+            if r.doc_id is not None and best.get(r.doc_id) == 1:
+                target.update(g)
+        t, a = sum(target.values()) + 65536, sum(raw.values()) + 65536
+        ratio = lambda g: math.log((target[g] + 1) / t) - math.log((raw[g] + 1) / a)
+        want = []
+        for r in df.collect():
+            g = ngrams_by_hand(r.text)
+            llr = sum(map(ratio, g)) / len(g) if g else 0.0
+            n, *_, repeat = base_by_hand(r.text)
+            want.append((str(r.doc_id), n, round(llr, 9), n >= 50 and 100 * repeat <= 50 * n and llr >= quality_rules.THRESHOLD))
+        assert sorted((str(r.doc_id), r.n_words, round(r.llr, 9), r.kept) for r in quality_rules.scored(df, known).collect()) == sorted(want)
+
+
 def test_filter_agrees(docs, hard, nothing, labels):
     keep = sorted(str(r.doc_id) for r in quality_rules.scored(hard, labels).filter("kept").collect())
     out = quality_rules.filtered(hard, labels)
@@ -84,6 +118,99 @@ def test_quality_classifier(spark, docs, hard, nothing, labels):
     assert {r.score for r in nbsvm.scored(hard, none).collect()} == {0.5}
 
 
+def features_by_hand(text):
+    b, out = (text or "").encode(), set()
+    for n in range(1, 5):
+        for k in range(len(b) - n + 1):
+            code = 0
+            for c in b[k : k + n]:
+                code = (code * 257 + c + 1) % (1 << 32)
+            out.add(code * 2654435769 % (1 << 32) >> 16)
+    return out
+
+
+def test_class_counts_and_scores_by_hand(spark, sf, hard, labels):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for df, known in ((docs, spark.read.parquet(f"{sf}/labels.parquet")), (hard, labels)):
+        best = {}
+        for r in known.collect():
+            if r.doc_id is not None and not held(r.doc_id, 5, 0):
+                best[r.doc_id] = max(best.get(r.doc_id, 0), r.quality)
+        want, n = [Counter(), Counter()], [0, 0]
+        for r in df.collect():
+            if r.doc_id in best:
+                want[best[r.doc_id]].update(features_by_hand(r.text))
+                n[best[r.doc_id]] += 1
+        known = nbsvm.training_labels(known).select("doc_id", F.col("y").cast("int").alias("y"))
+        counts, rows = nbsvm.class_counts(df, known)
+        assert rows.tolist() == n and all({k: c for k, c in enumerate(counts[y].tolist()) if c} == dict(want[y]) for y in (0, 1))
+    known = spark.read.parquet(f"{sf}/labels.parquet")
+    m = nbsvm.fitted(docs, known)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in nbsvm.scored(docs, known).collect()[:40]:
+        f = sorted(features_by_hand(text[r.doc_id]))
+        size = math.sqrt(sum(m["scale"][k] ** 2 for k in f)) or 1.0
+        margin = sum(m["w"][k] * m["scale"][k] for k in f) / size + m["w"][-1]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(m["a"] * margin + m["b"]))), abs=1e-9)
+
+
+def test_hinge_fit_is_optimal():
+    """Primal and dual objectives meet."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(80)]
+    y, scale, cost = np.where(rng.random(80) < 0.5, 1.0, -1.0), rng.normal(size=40), np.full(80, 0.7)
+    w = nbsvm.hinge_fit(rows, y, scale, cost, epochs=3000)
+    x = np.zeros((80, 41))
+    for k, r in enumerate(rows):
+        x[k, r] = scale[r] / np.linalg.norm(scale[r])
+        x[k, 40] = 1
+    primal = w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    best = min(primal, *((v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()) for v in (w + rng.normal(size=41) * s for s in (1e-3, 1e-2, 0.1) for _ in range(200))))
+    assert primal <= best * (1 + 1e-4)
+
+
+def test_repeated_ids_bring_bounded_samples(spark, monkeypatch):
+    monkeypatch.setattr(nbsvm, "FIT_ROWS", 3)
+    monkeypatch.setattr(nbsvm, "CURVE_ROWS", 3)
+    df = spark.createDataFrame([(k % 9, f"some text number {k} of many", "en") for k in range(300)], "doc_id long, text string, lang string")
+    known = nbsvm.training_labels(spark.createDataFrame([(k, k % 2) for k in range(9)], "doc_id long, quality int")).select("doc_id", F.col("y").cast("int").alias("y"))
+    fit, curve = nbsvm._sample(df, known)
+    assert len(fit) <= 6 and len(curve) <= 3
+    monkeypatch.setattr(langid, "PER_LANG", 4)
+    assert langid.fitted(df)["centroids"].shape[0] <= 4
+
+
+def test_nearest_centroid_by_hand(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+
+    def grams(text):
+        b = b" " + b" ".join(bytes(c | 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in text.encode()).split()) + b" "
+        out = Counter()
+        for n in range(1, 4):
+            for k in range(len(b) - n + 1):
+                code = 0
+                for c in b[k : k + n]:
+                    code = (code * 257 + c + 1) % (1 << 32)
+                out[code * 2654435769 % (1 << 32) >> 19] += 1
+        return out
+
+    rows = df.collect()
+    train = [grams(r.text) for r in rows if r.text is not None and r.lang is not None and not held(r.doc_id, 4, 2)]
+    df_of = Counter(k for g in train for k in g)
+    idf = {k: math.log((1 + len(train)) / (1 + df_of[k])) + 0.05 for k in range(langid.DIMS)}
+    m, texts = langid.fitted(df), {r.doc_id: r.text for r in rows}
+    assert m["idf"].tolist() == pytest.approx([idf[k] for k in range(langid.DIMS)])
+    for r in langid.predicted(df).collect()[:60]:
+        if r.lang_pred == "und":
+            continue
+        v = {k: math.log1p(n) * idf[k] for k, n in grams(texts[r.doc_id]).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x / size * float(c[k]) for k, x in v.items()) for c in m["centroids"]]
+        best = [max(c for c, o in zip(cos, m["owner"]) if o == k) for k in range(len(m["langs"]))]
+        p = [math.exp((b - max(best)) / langid.HEAT) for b in best]
+        assert r.score == pytest.approx(max(p) / sum(p), abs=1e-4) and best[m["langs"].index(r.lang_pred)] >= max(best) - 1e-6
+
+
 def test_hinge_fit_separates():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 50, 20)) if k % 2 else np.unique(rng.integers(50, 100, 20)) for k in range(60)]
