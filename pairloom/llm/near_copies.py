@@ -44,8 +44,8 @@ POSTING, NEXT = 8, 2
 MORE, TRIES = 100, 8
 #: Hashes with this share of the sets' hashes or more stand last in the order; so many at most.
 FREQUENT = 1 << 16
-_WORDS = 200_000
-_ROWS = 1_000_000
+_WORDS = 100_000
+_ROWS = 300_000
 _BLOCK = 2048
 
 
@@ -109,6 +109,7 @@ def shared_counts(rows: DataFrame, key: str) -> DataFrame:
                 if not words:
                     continue
                 s, node = shingles(words, known), named(words)
+                del words
                 some = s[: np.searchsorted(s, SAMPLED)]
                 told_all = len(s) <= SMALL and UNDER * len(s) <= OVER * SMALL  # then similar sets are counted whole too
                 need.append((len(s) if told_all else len(some)) - spare(len(s)))
@@ -117,12 +118,12 @@ def shared_counts(rows: DataFrame, key: str) -> DataFrame:
                 out = s if len(s) <= SMALL else some
                 held.append((out, np.full(len(out), node)))
                 size += len(out)
+                if size > _ROWS:
+                    yield from told(*(np.concatenate(x) for x in zip(*held)))
+                    held, size = [], 0
             if nodes:
                 own = np.array(nodes)
                 yield batch(own.view(np.uint64), own, np.full(len(own), -2), np.array(need), np.array(numbers))
-            if size > _ROWS:
-                yield from told(*(np.concatenate(x) for x in zip(*held)))
-                held, size = [], 0
         if size:
             yield from told(*(np.concatenate(x) for x in zip(*held)))
 
@@ -151,7 +152,7 @@ def shared_counts(rows: DataFrame, key: str) -> DataFrame:
             x = x[plain]
             if len(x):
                 held.append(x)
-                if sum(map(len, held)) > _ROWS // 4:
+                if sum(map(len, held)) > _ROWS:
                     x = np.concatenate(held)
                     whole = int(np.searchsorted(x[:, 0], x[-1, 0]))  # the last hash may go on
                     if whole:

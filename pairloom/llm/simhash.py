@@ -206,12 +206,17 @@ def _joined(units: DataFrame, budget: int) -> DataFrame:
     return units.repartition(n, "mask", "path").sortWithinPartitions("mask", "path").select("node", "fp", "mask", "path").mapInArrow(work, "a long, b long")
 
 
+def _told(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of edges (a, b), the smallest node of its component.
 
     Star contraction: large-star and small-star steps in turn, each a shuffle of the edges, until nothing changes.
     """
     edges = saved(edges.distinct(), "edges")
+    now = _told(edges)
     while True:
         # large star: each node sends its larger neighbours to its smallest one
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -221,11 +226,9 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").unionAll(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
-        new = saved(small, "edges")
-        same = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        was = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        edges = new
-        if same == was:
+        edges = saved(small, "edges")
+        was, now = now, _told(edges)
+        if now == was:
             break
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
