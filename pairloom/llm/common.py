@@ -34,12 +34,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/pairloom-{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go when the table that needed them is written, and not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cuts lineage: a Parquet table in the shared folder, read again with the same schema."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, was = scratch(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df.saved_at)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -66,6 +82,24 @@ def hash_of_long(x: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
+def dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+    """Records (columns of fixed width) packed by bucket: the buckets, and of each the columns one after another, in the records' order."""
+    order = np.argsort(bucket, kind="stable")
+    at, first = np.unique(bucket[order], return_index=True)
+    cols = [c[order] for c in columns]
+    ends = [*first[1:], len(order)]
+    return at, [b"".join(c[lo:hi].tobytes() for c in cols) for lo, hi in zip(first, ends)]
+
+
+def undealt(data: bytes, kinds: list[str]) -> list[np.ndarray]:
+    """The columns of one packed value."""
+    n, out, at = len(data) // sum(np.dtype(k).itemsize for k in kinds), [], 0
+    for k in kinds:
+        out.append(np.frombuffer(data, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
+
+
 #: log2 of the most 64-bit words of a bit filter.
 FILTER = 22
 

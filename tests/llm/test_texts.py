@@ -526,30 +526,95 @@ def test_lm_beats_its_base(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_lm_distributions_sum_to_one(spark):
-    df = spark.createDataFrame([(k, "a b a b c a b d " * 40 + f"x{k}") for k in range(30)], "doc_id long, text string")
-    tree, ids, _, n = suffix_lm.learned(df)
-    assert tree.one.kept.any()
-    names = {k: w for w, k in ids.items()}
-    for context in ([b"a"], [b"b"], [b"a", b"b"], [b"b", b"a"]):
-        rest = 1.0 / tree.z  # a word that was never seen
-        total = 0.0
-        for s in range(len(ids)):
-            x = np.array([-1, *[ids[w] for w in context], s])
-            total += 10 ** tree.scores(x[-3:] if len(context) == 2 else np.array([-1, *x[-2:]]))[1][-1]
-        x = np.array([ids[w] for w in context] + [-1])
-        log = tree.scores(x if len(context) == 2 else np.array([-1, *x]))[1][-1]
-        total += rest * 10**log
-        assert total == pytest.approx(1.0, abs=1e-6), (context, names)
-
-
-def test_lm_keeps_rare_contexts(spark, monkeypatch):
-    """A context far below any fixed share of the corpus is retained, and what is joined by hash scores as what is broadcast."""
+def tree_by_hand(texts, depth):
+    """Log10 probability of a symbol after others, from all counts of a small corpus: (retained contexts, function)."""
+    c, total = Counter(), Counter()
+    for t in texts:
+        w = ["\n", *t, "\n"]
+        c.update(w[1:])
+        for k in range(1, depth + 1):
+            for i in range(k, len(w)):
+                total[(*w[i - k : i], w[i])] += 1
+    n, v = sum(c.values()), len(c)
+    kept = {}
+
+    def count(gram):
+        """As symbols that are followed: the end before a text is counted as the end of one, of which there are as many."""
+        return c[gram[0]] if len(gram) == 1 else total[gram]
+
+    def log_p(context, s):
+        if not context:
+            return math.log10((c[s] + 1) / (n + v + 1))
+        lower = log_p(context[1:], s)
+        if context not in kept:
+            return lower
+        own, rest = kept[context]
+        return own[s] if s in own else lower + rest
+
+    for k in range(1, depth + 1):
+        by = {}
+        for g, times in total.items():
+            # apriori: context and suffix occur often enough, as do all of theirs
+            if len(g) == k + 1 and times >= 2 and all(count(g[i:j]) >= 2 for i in range(k + 1) for j in range(i + 1, k + 2)):
+                by.setdefault(g[:-1], {})[g[-1]] = times
+        new = {}
+        for context, nexts in by.items():
+            w = count(context)
+            d = {s: t - 0.5 for s, t in nexts.items()}
+            q = {s: log_p(context[1:], s) for s in nexts}
+            rest_p, rest_q = max(1 - sum(d.values()) / w, 1e-9), max(1 - sum(10 ** x for x in q.values()), 1e-9)
+            gain = sum(d[s] / w * (math.log(d[s] / w) - q[s] * math.log(10)) for s in d) + rest_p * math.log(rest_p / rest_q)
+            if gain >= suffix_lm.KEEP and gain * w >= suffix_lm.SIGNIFICANT:
+                new[context] = {s: math.log10(x / w) for s, x in d.items()}, math.log10(rest_p / rest_q)
+        kept.update(new)
+
+    def score(t):
+        w = ["\n", *t, "\n"]
+        return sum(log_p(tuple(w[max(0, i - depth) : i]), w[i]) for i in range(1, len(w)))
+
+    return kept, score, log_p, c
+
+
+def lm_corpus():
+    rng = np.random.default_rng(11)
+    phrases = [" ".join(f"w{x}" for x in rng.integers(0, 300, 7)) for _ in range(25)]
+    rows = [(k, " ".join(rng.choice(phrases) if rng.random() < 0.4 else f"w{min(int(rng.exponential(30)), 299)}" for _ in range(rng.integers(3, 60)))) for k in range(160)]
+    twice = " ".join(f"only{k}" for k in range(80))
+    return rows + [(200, twice), (201, twice), (202, None), (203, ""), (None, "W1 w2")]
+
+
+@pytest.mark.parametrize(("depth", "head"), [(1, 1 << 18), (2, 1 << 18), (4, 1 << 18), (4, 64), (4, 1)])
+def test_lm_by_hand(spark, monkeypatch, depth, head):
+    """Every score against a tree made of all counts, whether words and grams are in every task or asked for."""
+    monkeypatch.setattr(suffix_lm, "HEAD", head)
+    monkeypatch.setattr(suffix_lm, "BROADCAST", 16)
+    monkeypatch.setattr(suffix_lm, "_ASKED", 300)
+    rows = lm_corpus()
+    texts = [(k, (t or "").lower().split()) for k, t in rows]
+    kept, score, log_p, c = tree_by_hand([w for k, w in texts if not held(k, 7, 2)], depth)
+    assert max(map(len, kept)) >= min(depth, 3)
+    if head > 64:  # each distribution sums to one, with what was never seen
+        z = sum(c.values()) + len(c) + 1
+        for context in list(kept)[:40]:
+            total = sum(10 ** log_p(context, s) for s in c)
+            unseen = 10 ** log_p(context, "never seen") * 1
+            assert total + unseen == pytest.approx(1.0, abs=1e-6) and z
+    got = suffix_lm.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), depth).collect()
+    want = sorted((str(k), round(score(w), 3)) for k, w in texts)
+    assert [k for k, _ in want] == sorted(str(r.doc_id) for r in got)
+    by = dict(want)
+    assert all(r.score == pytest.approx(by[str(r.doc_id)], abs=2e-3) for r in got)
+
+
+def test_lm_gains_from_depth(spark):
+    """Phrases of seven words: held-out texts are likelier with more than two symbols of context."""
+    df = spark.createDataFrame(lm_corpus(), "doc_id long, text string")
+    total = [sum(r.score for r in suffix_lm.scored(df, depth).filter("held_out").collect()) for depth in (1, 2, 4)]
+    assert total[0] < total[1] < total[2]
+
+
+def test_lm_keeps_rare_contexts(spark):
+    """A context far below any fixed share of the corpus is retained."""
     rows = [(k, " ".join(f"w{(7 * j + k) % 1499}" for j in range(10000))) for k in range(60)] + [(1000 + k, f"zebra quartz violin u{k}") for k in range(7)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in suffix_lm.scored(df).collect()}
+    got = {r.doc_id: r for r in suffix_lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[k].score > got[k].base_score + 5 for k in got if k >= 1000)
-    monkeypatch.setattr(suffix_lm, "HEAD", 256)
-    monkeypatch.setattr(suffix_lm, "BROADCAST", 64)
-    again = {r.doc_id: r for r in suffix_lm.scored(df).collect()}
-    assert all(again[k].score == pytest.approx(r.score, abs=1e-6) and again[k].base_score == pytest.approx(r.base_score, abs=1e-6) and again[k].n_known == r.n_known for k, r in got.items())
