@@ -101,7 +101,7 @@ def undealt(data: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 
 #: log2 of the most 64-bit words of a bit filter.
-FILTER = 22
+FILTER = 21
 
 
 def bits_of(keys: DataFrame) -> np.ndarray:
