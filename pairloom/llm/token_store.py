@@ -281,11 +281,13 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
         at += n
     offsets = spark.createDataFrame(starts, "part int, before long")
     facts = chunks.mapInArrow(_chunk_facts, "chunk binary, size long, crc long")
-    refs = recipes.select("part", "row", "refs").mapInArrow(_refs, "part int, row long, chunk binary, want long, after long")
-    total = recipes.agg(F.coalesce(F.sum(F.length("refs")), F.lit(0))).first()[0] // (DIGEST + 4)
-    often = refs.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(64, -(-total // FREQUENT))).select("chunk")  # FREQUENT rows at most
-    hot = F.broadcast(saved(facts.join(F.broadcast(often), "chunk", "left_semi"), "frequent"))
-    joined = refs.join(hot, "chunk").unionByName(refs.join(hot.select("chunk"), "chunk", "left_anti").join(facts, "chunk", "left").select("chunk", "part", "row", "want", "after", "size", "crc"))
+    refs = saved(recipes.select("part", "row", "refs").mapInArrow(_refs, "part int, row long, chunk binary, want long, after long"), "references")
+    total = refs.count()
+    often = F.broadcast(saved(refs.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(64, -(-total // FREQUENT))).select("chunk"), "frequent"))  # FREQUENT rows at most
+    told = "chunk binary, size long, crc long"
+    hot = F.broadcast(saved(chunks.join(often.withColumnRenamed("chunk", "name"), F.col("chunk") == F.col("name"), "left_semi").mapInArrow(_chunk_facts, told), "frequent"))
+    columns = ["part", "row", "want", "after", "size", "crc"]
+    joined = refs.join(hot, "chunk").select(*columns).unionByName(refs.join(often, "chunk", "left_anti").join(facts, "chunk", "left").select(*columns))
     sound = F.when(F.col("size") == F.col("want"), F.col("crc")).otherwise(F.raise_error(F.lit("a chunk is missing or has another length")).cast("long"))
     crcs = joined.select("part", "row", sound.alias("crc"), "after", "want").mapInArrow(_crc_parts, "part int, row long, crc long, size long")
     whole = crcs.groupBy("part", "row").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("size").alias("_n"))
