@@ -52,19 +52,21 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash asks for a cut. Streams may follow one another: a stream's first LEAST places, where the window holds the one before, aren't used."""
     mixed = ids.astype(np.uint32) * np.uint32(2654435761)
     mixed ^= mixed >> np.uint32(15)
-    roll = np.zeros(n, np.uint32)
-    for k in range(WINDOW):
-        roll[k:] += mixed[: n - k] * np.uint32(pow(0x01000193, k, 1 << 32))
+    roll = np.zeros(len(ids), np.uint32)
+    for k in range(min(WINDOW, len(ids))):
+        roll[k:] += mixed[: len(ids) - k] * np.uint32(pow(0x01000193, k, 1 << 32))
     roll ^= roll >> np.uint32(16)
+    return np.flatnonzero((roll & np.uint32(MASK)) == 0) + 1
+
+
+def ends_of(asked: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of n ids, given its marks."""
     out, last = [], 0
-    for c in (np.flatnonzero((roll & np.uint32(MASK)) == 0) + 1).tolist():
+    for c in asked:
         while c - last > MOST:
             last += MOST
             out.append(last)
@@ -79,10 +81,18 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream."""
+    return ends_of(marks(ids).tolist(), len(ids))
+
+
+NARROW = bytes([2])
+
+
 def pack_ids(ids: np.ndarray) -> bytes:
     """A leading byte tells the width."""
     wide = len(ids) and int(ids.max()) >= 1 << 16
-    return bytes([4 if wide else 2]) + ids.astype("<u4" if wide else "<u2").tobytes()
+    return bytes([4]) + ids.astype("<u4").tobytes() if wide else NARROW + ids.astype("<u2").tobytes()
 
 
 def unpack_ids(data: bytes) -> np.ndarray:
@@ -100,20 +110,25 @@ def _staged(docs: DataFrame, file: str) -> DataFrame:
             keys, ids_of, data, kinds, slots = [], [], [], [], []
             if len(met) > MET:
                 met.clear()
-            for k, t in enumerate(b.column(1)):
-                raw = enc.ids(t.as_py().decode()) + end
-                ids, last, refs = np.frombuffer(raw, "<u4"), 0, []
-                for c in cuts(ids):
+            raws = [enc.ids(t.as_py().decode()) + end for t in b.column(1)]
+            whole = np.frombuffer(b"".join(raws), "<u4")
+            narrow = whole.astype("<u2").tobytes() if int(whole.max()) < 1 << 16 else None
+            asked, to = marks(whole), np.cumsum([len(r) // 4 for r in raws])
+            upto, at, done = np.searchsorted(asked, to, "right").tolist(), 0, 0
+            for k, raw in enumerate(raws):
+                n, last, refs = len(raw) // 4, 0, []
+                for c in ends_of((asked[done : upto[k]] - at).tolist(), n):
                     name = digest(raw[4 * last : 4 * c])
                     refs.append(name + (c - last).to_bytes(4, "little"))
                     if name not in met:
                         met.add(name)
                         keys.append(name)
                         ids_of.append(None)
-                        data.append(pack_ids(ids[last:c]))
+                        data.append(NARROW + narrow[2 * (at + last) : 2 * (at + c)] if narrow else pack_ids(whole[at + last : at + c]))
                         kinds.append(CHUNK)
                         slots.append(int.from_bytes(name[:4], "little", signed=True))
                     last = c
+                at, done = at + n, upto[k]
                 recipe = b"".join(refs)
                 keys.append(digest(recipe))
                 ids_of.append(k)
