@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cuts lineage: a Parquet table in the shared folder, read again with the same schema."""
-    spark = df.sparkSession
-    path, was = scratch(spark, name), spark.conf.get(CLEANUP, "false")
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    was = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.options(**options).parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, was)
+
+
+def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Cuts lineage: a Parquet table in the shared folder, read again with the same schema."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with shuffles_removed(spark):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out

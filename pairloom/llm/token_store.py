@@ -1,7 +1,7 @@
 """Token-id output as a content-addressed store, read back by recipe.
 
 Format. ``chunks``: one row for each distinct chunk: chunk (BLAKE2b-128 of its bytes) and ids (a byte that tells their
-width, then little-endian 16-bit ids, or 32-bit ones where the vocabulary needs them; the table is compressed as a whole). ``recipes``: one row a document in ascending doc_id order, in
+width, then little-endian 16-bit ids, or 32-bit ones where the vocabulary needs them). ``recipes``: one row a document in ascending doc_id order, in
 files of ranges: doc_id, part, row, start within the part, n_tokens, and refs (16 bytes of chunk, 4 bytes of length each).
 ``recipes`` also hold one manifest row a part: its document and token counts, its first and last id, and the Merkle root
 over its recipes' digests.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import batches, parts, saved, scratch, utf8
+from pairloom.llm.common import batches, parts, saved, scratch, shuffles_removed, utf8
 from pairloom.llm.encoding import WORD_BPE, encoder
 
 END_ID = 1
@@ -210,10 +210,12 @@ def write(docs: DataFrame, path: str, file: str = WORD_BPE) -> None:
     kind = docs.schema["doc_id"].dataType.simpleString()
     staged = STAGED.format(id=kind)
     rows = _staged(docs, file).repartition(n, "slot").select("key", "doc_id", "ids", "kind").sortWithinPartitions("kind", "key").mapInArrow(_once, staged)
-    rows.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/content")
+    with shuffles_removed(spark):
+        rows.write.partitionBy("kind").parquet(f"{path}/content")
     recipes = spark.read.schema(staged).parquet(f"{path}/content").filter(F.col("kind") == RECIPE).select("doc_id", "key", "ids")
     ordered = recipes.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "key").mapInArrow(_ordered, RECIPES.format(id=kind) + ", kind int")
-    ordered.write.partitionBy("kind").parquet(f"{path}/recipes")
+    with shuffles_removed(spark):
+        ordered.write.partitionBy("kind").parquet(f"{path}/recipes")
 
 
 @cache
