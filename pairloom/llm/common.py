@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -170,7 +171,14 @@ def binaries(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return column.to_pylist()
 
 
-def batches(it: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, col: int = 1) -> Iterator[pa.RecordBatch]:
+def _trimmed() -> None:
+    """Gives memory back that this worker no longer needs, as it idles beside later stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def batches(it: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, col: int = 1) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most about max_bytes of the binary column col (a longer row alone)."""
     for b in it:
         n = b.num_rows
@@ -182,6 +190,7 @@ def batches(it: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, col: int = 1
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + max_bytes, "right")) - 1)
             yield b.slice(lo, hi - lo)
             lo = hi
+    _trimmed()
 
 
 def empty_frame(spark: SparkSession, schema: str) -> DataFrame:
