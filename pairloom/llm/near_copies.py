@@ -41,7 +41,7 @@ OVER, UNDER = 4, 5
 SAMPLED = np.uint64(int(0.35 * (1 << 64)))
 SMALL = 128
 POSTING, NEXT = 8, 2
-MORE, TRIES = 1000, 4
+MORE, TRIES = 200, 4
 #: Hashes with this share of the sets' hashes or more stand last in the order; so many at most.
 FREQUENT = 1 << 16
 _WORDS = 100_000

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import batches, fresh, parts, saved, utf8
+from pairloom.llm.common import batches, discard, fresh, parts, saved, utf8
 
 BITS = 64
 BUDGET = 2
@@ -226,7 +226,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").unionAll(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
-        edges = saved(small, "edges")
+        before, edges = edges, saved(small, "edges")
+        discard(before)
         was, now = now, _told(edges)
         if now == was:
             break
