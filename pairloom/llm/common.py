@@ -124,6 +124,13 @@ def bits_of(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def bits_held(keys: np.ndarray) -> np.ndarray:
+    """The same filter over keys in memory."""
+    out = np.zeros(1 << min(max((len(keys) // 4).bit_length(), 10), FILTER), np.uint64)
+    np.bitwise_or.at(out, (keys & np.uint64(len(out) - 1)).astype(np.int64), np.uint64(1) << (keys >> np.uint64(FILTER) & np.uint64(63)))
+    return out
+
+
 def may_hold(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (bits[(k & np.uint64(len(bits) - 1)).astype(np.int64)] >> (k >> np.uint64(FILTER) & np.uint64(63)) & np.uint64(1)).astype(bool)
 
