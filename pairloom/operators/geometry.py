@@ -350,7 +350,8 @@ def shadow_shifts(elevation: float, azimuth: float, pixel_m: float, heights: Seq
     return [(int(x), int(y)) for x, y in zip(np.rint(-d * np.sin(a)), np.rint(d * np.cos(a)))]
 
 
-HEIGHTS = (300.0, 600.0, 1000.0, 1500.0, 2000.0, 3000.0)
+#: Metres, in even steps.
+HEIGHTS = tuple(np.linspace(300.0, 3000.0, 6).tolist())
 
 
 def project_shadow(clouds: DataFrame, elevation: float, azimuth: float, pixel_m: float, heights: Sequence[float], height: int, width: int) -> DataFrame:
@@ -361,11 +362,12 @@ def project_shadow(clouds: DataFrame, elevation: float, azimuth: float, pixel_m:
 
 
 def confirm_shadows(pixels: DataFrame, clouds: DataFrame, elevation: float, azimuth: float, pixel_m: float, heights: Sequence[float], height: int, width: int, dark_at: float = 25) -> DataFrame:
-    """row, col of projected shadows outside clouds whose nir is among the darkest dark_at percent of cloudless pixels (row, col, nir)."""
+    """row, col of projected shadows outside clouds whose nir is among the darkest dark_at percent of cloudless pixels (row, col, nir); without any such pixel, all of them unconfirmed."""
     clear = pixels.filter("nir is not null and not isnan(nir)").join(clouds.select("row", "col"), ["row", "col"], "left_anti")
     mark = clear.agg(F.percentile("nir", F.lit(dark_at / 100)).alias("_p"))
     shadow = project_shadow(clouds, elevation, azimuth, pixel_m, heights, height, width)
-    return clear.join(shadow, ["row", "col"], "left_semi").crossJoin(F.broadcast(mark)).filter("nir <= _p").select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))  # one row on the right
+    found = shadow.join(clouds.select("row", "col"), ["row", "col"], "left_anti").join(clear.select("row", "col", "nir"), ["row", "col"], "left")
+    return found.crossJoin(F.broadcast(mark)).filter("_p is null or nir <= _p").select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))  # one row on the right
 
 
 def _labels(mask: np.ndarray) -> np.ndarray:

@@ -60,10 +60,15 @@ def cdf(hist: DataFrame) -> DataFrame:
 
 
 def laplacian(df: DataFrame, v: str = "v", keys: Sequence[str] = ()) -> DataFrame:
-    """The 4-neighbour Laplacian at interior pixels (row, col), by two window passes over rows and columns."""
+    """The 4-neighbour Laplacian at pixels (row, col) with all four neighbours, by two window passes over rows and columns."""
     along = Window.partitionBy(*keys, "row").orderBy("col")
     down = Window.partitionBy(*keys, "col").orderBy("row")
-    near = [F.lag(v).over(along), F.lead(v).over(along), F.lag(v).over(down), F.lead(v).over(down)]
+
+    def beside(step, at: str, window) -> Column:
+        """The next value there is, if no pixel is missing between."""
+        return F.when(F.abs(step(at).over(window) - F.col(at)) == 1, step(v).over(window))
+
+    near = [beside(step, at, window) for at, window in (("col", along), ("row", down)) for step in (F.lag, F.lead)]
     value = near[0] + near[1] + near[2] + near[3] - 4 * F.col(v)
     return df.withColumn("lap", value).filter("lap is not null")
 

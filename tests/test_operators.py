@@ -198,3 +198,20 @@ def test_registration(spark):
 
 def test_windows_view():
     assert windows(np.zeros((9, 9)), 3).shape == (7, 7, 3, 3)
+
+
+def test_shadows_without_clear_pixels_stay_unconfirmed(spark):
+    assert geometry.HEIGHTS == (300.0, 840.0, 1380.0, 1920.0, 2460.0, 3000.0)
+    clouds = spark.createDataFrame([(5, 5)], "row int, col int")
+    found = {}
+    for name, nir in (("none", None), ("dark", 1.0)):
+        pixels = spark.createDataFrame([(r, c, nir) for r in range(10) for c in range(10)], "row int, col int, nir double")
+        found[name] = {(r.row, r.col) for r in geometry.confirm_shadows(pixels, clouds, 45.0, 180.0, 600.0, geometry.HEIGHTS, 10, 10).collect()}
+    # 300 / 600 rounds to the cloud itself, 3000 m lies at row 0
+    assert found["none"] == found["dark"] == {(4, 5), (3, 5), (2, 5), (1, 5), (0, 5)}
+
+
+def test_laplacian_skips_pixels_with_a_gap_beside(spark):
+    rows = [(r, c, float(r * r + c)) for r in range(5) for c in range(5) if (r, c) != (2, 3)]
+    got = {(r.row, r.col): r.lap for r in stats.laplacian(spark.createDataFrame(rows, "row int, col int, v double")).collect()}
+    assert got == {(1, 1): 2.0, (1, 2): 2.0, (2, 1): 2.0, (3, 1): 2.0, (3, 2): 2.0}
