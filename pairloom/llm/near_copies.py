@@ -13,6 +13,9 @@ Every pair of that similarity links, and no other; nothing is capped or estimate
    order of all nodes, so that a group of near copies costs a few comparisons a node. Hashes whose nodes are still in several
    components are dealt in another order each round, and neighbours of different components compared, and others with some of
    the largest one, as long as that adds one link in MORE. Then what is left is gone through in blocks: every pair of different components that nothing rules out is compared.
+   Here sketches rule pairs out too: a sketch's bit is the parity of the set's hashes that fall on it, so two sets differ in at
+   least as many hashes as their sketches in bits, and a set is fetched only for a pair that can still be similar.
+4. Whole sets are shuffled in slices of pairs, each of a bounded share of the texts' bytes, however many pairs there are.
 
 Defined cases: ASCII lower case and white space; fewer than 5 words: the whole sequence is the one shingle; texts without words
 are left to the fingerprints, which are equal; ids may repeat or be null, as rows are told apart by their own numbers; an empty table stays
@@ -21,8 +24,9 @@ empty; other columns of the input, whatever their names, come back as they are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import count
 
 import numpy as np
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import batches, bits_of, fresh, hash_of_long, may_hold, parts, saved, utf8
+from pairloom.llm.common import batches, bits_of, bytes_of, discard, fresh, hash_of_long, may_hold, parts, saved, utf8
 from pairloom.llm.simhash import components, fingerprint_roots, fingerprints, later_rows, numbered
 
 SHINGLE = 5
@@ -46,7 +50,11 @@ MORE, TRIES = 200, 4
 FREQUENT = 1 << 16
 _WORDS = 100_000
 _ROWS = 300_000
-_BLOCK = 2048
+_BLOCK = 512
+#: log2 of the bits of a sketch.
+SKETCH = 9
+#: Sets that one slice of pairs sends, as a share of the texts' bytes; and bytes below which there are no slices.
+SLICE, WHOLE = 0.4, 64 << 20
 
 
 class Words(dict):
@@ -237,6 +245,31 @@ def batches_of_lists(it: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[
             yield b.slice(k, rows)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parity, as bits of 64-bit numbers, of how many of the hashes fall on each of 2**SKETCH places."""
+    odd = np.bincount((s >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """node, s0, s1 and so on."""
+    names = [f"s{k}" for k in range((1 << SKETCH) // 64)]
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of_lists(it):
+            x = np.stack([sketch(s.values.to_numpy().view(np.uint64)) for s in b.column(1)])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, k]) for k in range(len(names)))], names=["node", *names])
+
+    return sets.select("node", "set").mapInArrow(work, ", ".join(f"{c} long" for c in ["node", *names]))
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of rows g, node, n, at, root and the sketch can be similar: they differ in no fewer hashes than their sketches in bits."""
+    n = a[:, 2] + b[:, 2]
+    apart = np.bitwise_count((a[:, 5:] ^ b[:, 5:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return (OVER + UNDER) * (n - apart) >= 2 * OVER * n
+
+
 def open_pairs(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Whether sets of n and m hashes that first meet at these places of their orders can be similar."""
     return (OVER + UNDER) * np.minimum(n - at, m - to) >= OVER * (n + m)
@@ -255,7 +288,7 @@ def pairs_within(rows: np.ndarray) -> np.ndarray:
 
 
 def _mixed(rows: np.ndarray) -> Iterator[np.ndarray]:
-    """Of rows g, node, n, at, root, sorted by g: the groups with more than POSTING nodes in more than one component."""
+    """Of rows g, node, n, at, root and the sketch, sorted by g: the groups with more than POSTING nodes in more than one component."""
     cut = [*np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])), len(rows)]
     for lo, hi in zip(cut, cut[1:]):
         x = rows[lo:hi]
@@ -266,6 +299,8 @@ def _mixed(rows: np.ndarray) -> Iterator[np.ndarray]:
 def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The pairs of two equally long runs of rows that can be similar and are in different components."""
     on = open_pairs(a[:, 2], a[:, 3], b[:, 2], b[:, 3]) & (a[:, 4] != b[:, 4])
+    a, b = a[on], b[on]
+    on = may_be_similar(a, b)
     return np.stack([np.minimum(a[on, 1], b[on, 1]), np.maximum(a[on, 1], b[on, 1])], axis=1)
 
 
@@ -329,15 +364,28 @@ def _candidates(rows: DataFrame, pairs) -> DataFrame:
     return rows.repartition(parts(rows.sparkSession), "g").sortWithinPartitions("g", "node").mapInArrow(work, "a long, b long").distinct()
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    x, y = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(x, "a").join(y, "b")
-    return both.filter((OVER + UNDER) * F.size(F.array_intersect("x", "y")) >= OVER * (F.size("x") + F.size("y"))).select("a", "b")
+def _similar(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar, as a table. Slices of pairs send sets of about share bytes each: both sides by the node, and one again with each pair."""
+    pairs = saved(pairs, "pairs")
+    n, (nodes, hashes) = pairs.count(), sets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("set").cast("long")), F.lit(0))).first()
+    size = 8 * hashes * (2 + n / max(nodes, 1))
+    turns = 1 if size <= share else 1 + math.isqrt(int(size / share))
+    found = []
+    for i in range(turns):
+        for j in range(turns):
+            part = [F.pmod(F.col(c), F.lit(turns)) == k for c, k in (("a", i), ("b", j))] if turns > 1 else [F.lit(True)] * 2
+            x, y = sets.select(F.col("node").alias("a"), F.col("set").alias("x")).filter(part[0]), sets.select(F.col("node").alias("b"), F.col("set").alias("y")).filter(part[1])
+            both = pairs.filter(part[0] & part[1]).join(x, "a").join(y, "b")
+            found.append(saved(both.filter((OVER + UNDER) * F.size(F.array_intersect("x", "y")) >= OVER * (F.size("x") + F.size("y"))).select("a", "b"), "similar"))
+    discard(pairs)
+    return reduce(DataFrame.unionByName, found)
 
 
-def _labelled(met: DataFrame, links: DataFrame) -> DataFrame:
-    return met.join(components(links).hint("shuffle_hash"), "node", "left").select("g", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+def _labelled(met: DataFrame, links: DataFrame, drawn: DataFrame) -> DataFrame:
+    """g, node, n, at, root and the sketch of the nodes under hashes with several components."""
+    rows = met.join(components(links).hint("shuffle_hash"), "node", "left").select("g", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    mixed = rows.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
+    return rows.join(mixed.hint("shuffle_hash"), "g", "left_semi").join(drawn.hint("shuffle_hash"), "node").select("g", "node", "n", "at", "root", *drawn.columns[1:])
 
 
 def similar(rows: DataFrame, key: str) -> DataFrame:
@@ -345,17 +393,22 @@ def similar(rows: DataFrame, key: str) -> DataFrame:
     counts = shared_counts(rows, key)
     wanted = saved(counts.filter(F.col("c") >= F.col("need")).select("row"), "shared")
     sets = saved(_sets(rows, key, wanted), "sets", compression="uncompressed")
+    discard(wanted)
+    share = max(WHOLE, int(SLICE * bytes_of(rows)))
     met = saved(prefixes(sets), "prefixes")
-    found = saved(_similar(_candidates(met, lambda x: [pairs_within(x)]), sets), "similar")
+    found = _similar(_candidates(met, lambda x: [pairs_within(x)]), sets, share)
     many = met.join(met.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > POSTING).select("g").hint("shuffle_hash"), "g", "left_semi")
     many = saved(many, "frequent-prefixes")
+    discard(met)
+    drawn = saved(sketches(sets.join(many.select("node").distinct().hint("shuffle_hash"), "node", "left_semi")), "sketches")
     for turn in count(1):
-        labelled = _labelled(many, found)
-        new = saved(_similar(_candidates(labelled, partial(pairs_dealt, turn=turn)), sets), "similar")
+        new = _similar(_candidates(_labelled(many, found, drawn), partial(pairs_dealt, turn=turn)), sets, share)
         known, found = found.count(), found.unionByName(new)
         if MORE * new.count() <= known:
             break
-    return found.unionByName(_similar(_candidates(_labelled(many, found), pairs_across), sets))
+    found = found.unionByName(_similar(_candidates(_labelled(many, found, drawn), pairs_across), sets, share))
+    discard(sets, many, drawn)
+    return found
 
 
 def names(rows: DataFrame, key: str) -> DataFrame:

@@ -95,3 +95,42 @@ def test_hard_rows(spark, hard, nothing):
     clash = hard.select("doc_id", "text", F.lit(1).alias("row"), F.lit("x").alias("fp"), F.lit("y").alias("node"), F.lit(2).alias("set"))
     got = near_copies.distinct(clash)
     assert got.columns == clash.columns and {(r.row, r.fp, r.node, r["set"]) for r in got.collect()} == {(1, "x", "y", 2)} and got.count() == len(want)
+
+
+def test_unlike_texts_of_a_large_group(spark, monkeypatch):
+    """Texts with four changes each of one base meet under its shingles and aren't similar: their sets are not fetched pair by pair."""
+    rng = np.random.default_rng(3)
+    base, compared, similar = [f"v{k}" for k in range(200)], [], near_copies._similar
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_similar", counted)
+    rows = []
+    for k in range(120):
+        w = list(base)
+        for at in rng.choice(18, 4, replace=False) * 10 + 10:
+            w[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(w)))
+    check_similar(spark, rows)
+    assert sum(compared[1:]) < 1000
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(4)
+    for n in (5, 40, 300, 3000):
+        s = rng.integers(0, 1 << 64, 2 * n, np.uint64, endpoint=False)
+        for lost in range(0, n // 4 + 1, max(1, n // 40)):
+            a, b = s[:n], s[lost : n + lost]
+            x, y = (np.concatenate([[0, 0, n, 0, 0], near_copies.sketch(v)])[None] for v in (a, b))
+            assert 9 * (n - lost) < 8 * n or near_copies.may_be_similar(x, y)[0]
+    x, y = (np.concatenate([[0, 0, 300, 0, 0], near_copies.sketch(v)])[None] for v in (s[:300], s[150:450]))
+    assert not near_copies.may_be_similar(x, y)[0]
+
+
+def test_slices_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SLICE", 0)
+    monkeypatch.setattr(near_copies, "WHOLE", 60_000)
+    base = [f"v{k * k % 7919}" for k in range(120)]
+    check_similar(spark, [(k, " ".join(base[: k % 110] + [f"x{k}"] * (1 + k % 3) + base[k % 110 :])) for k in range(60)])
