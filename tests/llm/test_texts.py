@@ -611,6 +611,27 @@ def test_lm_by_hand(spark, monkeypatch, depth, head):
     assert all(r.score == pytest.approx(by[str(r.doc_id)], abs=2e-3) for r in got)
 
 
+def test_lm_in_turns(spark, monkeypatch):
+    """Levels and questions in slices of the hashes: the same rows, and no turn shuffles all grams."""
+    monkeypatch.setattr(suffix_lm, "HEAD", 64)
+    df = spark.createDataFrame(lm_corpus(), "doc_id long, text string").repartition(3)
+    want = {(r.doc_id, r.n_known, r.base_score): r.score for r in suffix_lm.scored(df).collect()}
+    for name, value in (("TURN_TOKENS", 4), ("TURN_KEYS", 2), ("_SYMBOLS", 500), ("_ASKED", 100)):
+        monkeypatch.setattr(suffix_lm, name, value)
+    sizes, counted = [], suffix_lm.gram_counts
+
+    def spied(*rest):
+        sizes.append((out := counted(*rest)).count())
+        return out
+
+    monkeypatch.setattr(suffix_lm, "gram_counts", spied)
+    got = {(r.doc_id, r.n_known, r.base_score): r.score for r in suffix_lm.scored(df).collect()}
+    assert len(got) == len(want) and sorted(str(k[:2]) for k in got) == sorted(str(k[:2]) for k in want)
+    by = {k[:2] + (round(k[2], 3),): x for k, x in want.items()}
+    assert all(x == pytest.approx(by[k[:2] + (round(k[2], 3),)], abs=1e-3) for k, x in got.items())
+    assert len(sizes) >= 16 and max(sizes[:8]) < sum(sizes[:8]) / 2
+
+
 def test_lm_gains_from_depth(spark):
     """Words that depend on the three before them: held-out texts are likelier with each symbol of context."""
     rng = np.random.default_rng(2)
