@@ -632,6 +632,48 @@ def test_lm_in_turns(spark, monkeypatch):
     assert len(sizes) >= 16 and max(sizes[:8]) < sum(sizes[:8]) / 2
 
 
+def test_lm_moves_packed(spark, monkeypatch):
+    """Levels need no join, whose plans and broadcasts stand in the driver; frequent words and grams go by their own hash, and a task's packed rows are as many as its buckets at most."""
+    for name, value in (("HEAD", 64), ("_BUCKET", 16), ("TURN_TOKENS", 11)):
+        monkeypatch.setattr(suffix_lm, name, value)
+    rows = lm_corpus()
+    texts = [(k, (t or "").lower().split()) for k, t in rows]
+    kept, score, _, _ = tree_by_hand([w for k, w in texts if not held(k, 7, 2)], 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made, counted = [], suffix_lm.gram_counts
+
+    def spied(*rest):
+        out = counted(*rest)
+        made.append((out.count(), rest[5]))
+        return out
+
+    def join(*_, **__):
+        raise AssertionError("rows are joined")
+
+    monkeypatch.setattr(suffix_lm, "gram_counts", spied)
+    monkeypatch.setattr(type(df), "join", join)
+    got = suffix_lm.scored(df).collect()
+    by = {str(k): score(w) for k, w in texts}
+    assert len(got) == len(rows) and all(r.score == pytest.approx(by[str(r.doc_id)], abs=2e-3) for r in got)
+    # parts + 1 (sums of frequent ones) for each task
+    assert made and all(n <= 4 * ((1 << log) + 1) for n, log in made)
+
+
+def test_lm_words_of_one_hash(spark, monkeypatch):
+    """Words are counted apart even where their hashes are alike."""
+    docs = spark.createDataFrame([(k, "a b b c") for k in range(5)], "doc_id long, text string")
+    plain = {bytes(r.word): r.c for r in suffix_lm.word_counts(docs).collect()}
+    assert plain == {b"a": 5, b"b": 10, b"c": 5, b"\n": 5}
+
+    class Alike:
+        @staticmethod
+        def xxh64_intdigest(w, seed):
+            return 7 if w in (b"a", b"b") else len(w) + w[0]
+
+    monkeypatch.setattr(suffix_lm, "xxhash", Alike)
+    assert {bytes(r.word): r.c for r in suffix_lm.word_counts(docs).collect()} == plain
+
+
 def test_lm_gains_from_depth(spark):
     """Words that depend on the three before them: held-out texts are likelier with each symbol of context."""
     rng = np.random.default_rng(2)
