@@ -26,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import batches, discard, fresh, parts, saved, utf8
+from pairloom.llm.common import batches, discard, fresh, parts, saved, trimmed, utf8
 
 BITS = 64
 BUDGET = 2
 SHINGLE = 3
+#: Edges whose components one task finds.
+TOGETHER = 1 << 20
 #: Classes that one traversal takes; larger subtrees are cut again.
 LEAF_ROWS = 2000
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -210,12 +212,52 @@ def _told(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first())
 
 
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted nodes of some edges, and the smallest node of each one's component: roots are hooked to smaller ones until no edge has two."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, up = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(x):
+        x, y = up[x], up[y]
+        on = x != y
+        x, y = np.minimum(x[on], y[on]), np.maximum(x[on], y[on])
+        np.minimum.at(up, y, x)
+        while not np.array_equal(further := up[up], up):
+            up = further
+    return nodes, nodes[up]
+
+
+def _forest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a (the smallest), b: a star for each component of a task's edges, of so many at a time; each star's centre stands with itself as well."""
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        b, a = contracted(*(np.concatenate(x) for x in zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for b in it:
+        held.append([b.column(0).to_numpy(), b.column(1).to_numpy()])
+        size += b.num_rows
+        if size >= TOGETHER:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+    trimmed()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: for each node of edges (a, b), the smallest node of its component.
+    """node, root: for each node of edges (a, b) but the smallest of a component, that smallest one.
 
-    Star contraction: large-star and small-star steps in turn, each a shuffle of the edges, until nothing changes.
+    Each task makes its own edges stars. Up to TOGETHER of those meet in one task. More take star contraction: large-star and
+    small-star steps in turn, each a shuffle of the edges, until nothing changes; a plan a step is what the driver holds, so few edges don't take it.
     """
-    edges = saved(edges.distinct(), "edges")
+    edges = saved(edges.select("a", "b").mapInArrow(_forest, "a long, b long"), "forests")
+    if edges.count() <= TOGETHER:
+        one = saved(edges.coalesce(1).mapInArrow(_forest, "a long, b long"), "roots")
+        discard(edges)
+        return one.filter("a < b").select(F.col("b").alias("node"), F.col("a").alias("root"))
+    before, edges = edges, saved(edges.filter("a < b").distinct(), "edges")
+    discard(before)
     now = _told(edges)
     while True:
         # large star: each node sends its larger neighbours to its smallest one

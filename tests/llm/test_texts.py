@@ -321,6 +321,37 @@ def test_components_of_a_long_chain(spark):
     assert all(got[k] == 0 for k in range(1, n + 1)) and got[1001] == 1000
 
 
+def test_components_of_few_edges_take_few_jobs(spark):
+    """A round of star contraction is a plan of nine exchanges, which the driver holds for long; few edges must not take a round for each doubling of a chain."""
+    df = spark.createDataFrame([(k, k + 1) for k in range(400)] + [(1000, 1001), (1001, 1000), (5000, 5000)], "a long, b long").repartition(4)
+    sc = spark.sparkContext
+    sc.setJobGroup("few-edges", "components")
+    got = {r.node: r.root for r in simhash.components(df).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("few-edges"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {k: 0 for k in range(1, 401)} | {1001: 1000} and jobs <= 6
+
+
+@pytest.mark.parametrize("together", [1, 1 << 20])
+def test_components_of_random_graphs(spark, monkeypatch, together):
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    rng = np.random.default_rng(5)
+    edges = np.unique(rng.integers(-500, 500, (450, 2)), axis=0)
+    edges = edges[edges[:, 0] != edges[:, 1]]
+    forest = {int(k): int(k) for k in edges.ravel()}
+
+    def root(k):
+        while forest[k] != k:
+            k = forest[k]
+        return k
+
+    for a, b in edges.tolist():
+        a, b = root(a), root(b)
+        forest[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges.tolist(), "a long, b long")).collect()}
+    assert got == {k: root(k) for k in forest if root(k) != k}
+
+
 def test_deduplicated(spark, hard, docs):
     out = simhash.deduplicated(hard)
     ids = [r.doc_id for r in out.collect()]
