@@ -725,3 +725,21 @@ def test_lm_keeps_rare_contexts(spark):
     rows = [(k, " ".join(f"w{(7 * j + k) % 1499}" for j in range(10000))) for k in range(60)] + [(1000 + k, f"zebra quartz violin u{k}") for k in range(7)]
     got = {r.doc_id: r for r in suffix_lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[k].score > got[k].base_score + 5 for k in got if k >= 1000)
+
+
+def test_grams_are_added_up_in_little_memory():
+    """Each worker holds so many grams at once; beside the grams themselves it needs four times their bytes at most, and right counts come out."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    pairs = [tuple(rng.integers(0, 300_000, (2, 60_000), dtype=np.uint64) * np.uint64(0x9E3779B185EBCA87)) for _ in range(20)] + [(np.full(5, 7, np.uint64), np.full(5, 9, np.uint64))]
+    want = Counter(zip(*(np.concatenate(v).tolist() for v in zip(*pairs))))
+    size = sum(a.nbytes + b.nbytes for a, b in pairs)
+    tracemalloc.start()
+    held = [(a.copy(), b.copy()) for a, b in pairs]
+    out = suffix_lm.added_up(held, np.zeros(0, np.uint64), 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    c, s, n = suffix_lm._columns(suffix_lm.SENT, out.column(2).to_pylist())
+    assert not held and dict(zip(zip(c.tolist(), s.tolist()), n.tolist())) == want
+    assert peak < 5 * size
