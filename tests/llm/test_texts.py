@@ -4,8 +4,10 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -743,3 +745,72 @@ def test_grams_are_added_up_in_little_memory():
     c, s, n = suffix_lm._columns(suffix_lm.SENT, out.column(2).to_pylist())
     assert not held and dict(zip(zip(c.tolist(), s.tolist()), n.tolist())) == want
     assert peak < 5 * size
+
+
+def test_grams_of_frequent_words_move_as_codes():
+    """Grams of head words alone go in six tenths of the bytes of their hashes at most; the same hashes and counts come out of the codes."""
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 1 << 64, (1 << 17) + 1, dtype=np.uint64)
+    x = np.minimum(rng.exponential(3000, 400_000), 1 << 17).astype(np.int32)
+    x[rng.random(len(x)) < 0.01] = -1
+    known = x >= 0
+    for depth in (1, 2):
+        bits, start = suffix_lm.id_bits(hashes, depth), np.arange(len(x) - depth)
+        code = suffix_lm.codes(x, start, depth, bits)
+        assert np.array_equal(code >= 0, np.all([known[k : len(x) - depth + k] for k in range(depth + 1)], axis=0))
+        c, s = (v[code >= 0] for v in suffix_lm.halves(hashes[x], depth))
+        often = np.unique(s)[:50]
+        plain = suffix_lm.added_up([(c, s)], often, 7)
+        held = [code[code >= 0]]
+        out = suffix_lm.coded_up(held, hashes, depth, bits, often, 7)
+        got = {}
+        for bucket, data in zip(out.column(1).to_pylist(), out.column(2).to_pylist()):
+            high, low, n = suffix_lm._columns(suffix_lm.CODED, [data])
+            for own in zip(*(v.tolist() for v in suffix_lm.decoded(high.astype(np.int64) << 32 | low, hashes, depth, bits)), n.tolist()):
+                got[own] = bucket
+        want = {}
+        for bucket, data in zip(plain.column(1).to_pylist(), plain.column(2).to_pylist()):
+            for own in zip(*(v.tolist() for v in suffix_lm._columns(suffix_lm.SENT, [data]))):
+                want[own] = bucket
+        assert got == want and not held
+        size = [sum(len(pa.compress(v, "lz4", asbytes=True)) for v in t.column(2).to_pylist()) for t in (out, plain)]
+        assert size[0] < 0.6 * size[1]
+    assert suffix_lm.id_bits(hashes, 3) == 0  # 72 bits
+
+
+def test_questions_move_in_order():
+    """Questions go in 8 bytes each, 12 before, and come back whole."""
+    rng = np.random.default_rng(6)
+    h, at = rng.integers(0, 1 << 64, 500_000, dtype=np.uint64), rng.integers(0, 21_000, 500_000)
+    h[:2000] = h[2000:4000]
+    h[:3] = 0, (1 << 64) - 1, 0
+    bucket = suffix_lm._turn_bucket(h, 7, 2)
+    where, data = suffix_lm.questions(bucket.astype(np.uint16), at, h)
+    got = Counter()
+    for b, x in zip(where.tolist(), data):
+        back = suffix_lm.questioned(x)
+        assert (np.diff(back[1].astype(object)) >= 0).all()
+        got.update(zip([b] * len(back[0]), *(v.tolist() for v in back)))
+    assert got == Counter(zip(bucket.tolist(), at.tolist(), h.tolist()))
+    assert sum(len(pa.compress(x, "lz4", asbytes=True)) for x in data) < 8.5 * len(h)
+
+
+def test_lm_drops_suffixes_before_a_level_is_joined(spark, monkeypatch):
+    """Suffix records are needed to count alone; in the last turn of a level they go before its join, and scores stay right."""
+    monkeypatch.setattr(suffix_lm, "TURN_TOKENS", 12)
+    seen, joined = [], suffix_lm.level
+
+    def spied(counts, shorter, known, log, turn, turns, name):
+        if name == "level-2":
+            tops = {f.removeprefix("file:").replace("///", "/").rpartition("/what=")[0] for f in shorter.inputFiles()}
+            seen.append((turn, turns, [(Path(t) / f"what={suffix_lm.SUFFIXES}").exists() for t in tops]))
+        return joined(counts, shorter, known, log, turn, turns, name)
+
+    monkeypatch.setattr(suffix_lm, "level", spied)
+    rows = lm_corpus()
+    _, score, _, _ = tree_by_hand([(t or "").lower().split() for k, t in rows if not held(k, 7, 2)], 2)
+    by = {str(k): score((t or "").lower().split()) for k, t in rows}
+    got = suffix_lm.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2).collect()
+    assert len(got) == len(rows) and all(r.score == pytest.approx(by[str(r.doc_id)], abs=2e-3) for r in got)
+    turns = seen[0][1]
+    assert turns > 1 and [t for t, _, _ in seen] == list(range(turns)) and all(any(x) == (t < turns - 1) and x for t, _, x in seen)
